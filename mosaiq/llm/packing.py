@@ -1,8 +1,7 @@
 """Best-fit packing of token sequences with Martello-Toth dominance reduction.
 
 Tokenising: texts are split at ASCII white space, which the tokenizer drops and no
-token spans, so each distinct word is encoded once for each worker and then looked
-up. Only a document's pieces (lengths, checksums) leave that pass.
+token spans, so a worker encodes each distinct word once and then looks it up. Only a document's pieces (lengths, checksums) leave that pass.
 
 Packing needs only how many pieces there are of each length, a table of at most
 ``capacity`` rows. On it the driver (1) fixes piece sets that dominate every
@@ -20,9 +19,14 @@ each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import repeat
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,61 +37,104 @@ from .store import materialize
 from .textops import buffers, slices
 
 CAPACITY = 2048
-WORDS_HELD = 300_000
+WORDS_HELD = 1_200_000  # about 300 MB for each worker; beyond it a worker starts afresh
+ENDINGS = b".,!?;:"
+
+
+LETTERS = re.compile("[a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+").fullmatch
+
+
+def _printable() -> dict[int, str]:
+    """The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 and on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
 
 
 class Encoder:
-    """Ids of white-space separated words, each distinct one encoded once."""
+    """Ids of white-space separated words, each distinct one encoded once.
+
+    Where the file's own steps are lower-casing, splitting letters from the rest and the
+    byte-level alphabet, a word of Latin-1 letters goes straight to its model, as no
+    other step would change it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(Path(path).read_text())
+        kinds = [x["type"] for key, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (steps.get(key) or {}).get(inner, [])]
+        split = json.dumps(steps.get("pre_tokenizer"))
+        self.direct = kinds == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and r"|[\\p{L}]+|" in split and '"use_regex": false' in split
+        self.alphabet = _printable()
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                k, ids = len(self.known), e.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-                if k == len(self.begin):
-                    self.begin, self.size = (np.concatenate((a, np.zeros_like(a))) for a in (self.begin, self.size))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.begin[k], self.size[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[w] = k
+        self.ids, self.begin, self.size = array("I"), array("q"), array("i")
+
+    def _add(self, word: bytes, ids) -> None:
+        self.known[word] = len(self.begin)
+        self.begin.append(len(self.ids))
+        self.size.append(len(ids))
+        self.ids.extend(ids)
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encode new words. One that ends in a letter or digit and a run of ``ENDINGS`` is
+        what its two parts are, as the tokenizer always splits there."""
+        parts, plain = {}, set()
+        for w in words:
+            stem = w.rstrip(ENDINGS)
+            if stem != w and stem[-1:].isalnum():
+                parts[w] = stem, w[len(stem) :]
+                plain.update(parts[w])
+            else:
+                plain.add(w)
+        new = []
+        tokens = self.tokenizer.model.tokenize
+        for w in plain:
+            if w in self.known:
+                continue
+            s = w.decode()
+            if not (self.direct and LETTERS(s)):
+                new.append(w)
+                continue
+            ids = [t.id for t in tokens(s if s.isascii() else s.lower().encode().decode("latin-1").translate(self.alphabet))]
+            self._add(w, ids)
+        for lo in range(0, len(new), 5000):
+            some = new[lo : lo + 5000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self._add(w, e.ids)
+        held, begin, size, known = self.ids, self.begin, self.size, self.known
+        for w, (one, two) in parts.items():
+            i, j = known[one], known[two]
+            a, b = begin[i], begin[j]
+            self._add(w, held[a : a + size[i]] + held[b : b + size[j]])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by id 0, and the texts' offsets in them."""
         words: list[bytes] = []
         counts = []
         for t in texts:
-            w = t.split()
+            # the tokenizer lowers case, but finds its special tokens before that
+            w = (t if b"<|" in t else t.lower()).split()
             counts.append(len(w))
             words += w
-        get = self.known.get
         if len(self.known) > WORDS_HELD:
             self.clear()
-            get = self.known.get
-        at = list(map(get, words))
-        if None in at:
-            self._learn(list({w for w, i in zip(words, at, strict=True) if i is None}))
-            at = list(map(get, words))
-        at = np.array(at, dtype=np.int64)
+        get = self.known.get
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            lost = [words[k] for k in missing.tolist()]
+            self._learn(set(lost))
+            at[missing] = [get(w) for w in lost]
         counts = np.array(counts, dtype=np.int64)
-        sizes = self.size[at]
+        ids, begin, size = (np.frombuffer(x, t) for x, t in ((self.ids, np.uint32), (self.begin, np.int64), (self.size, np.int32))) if self.known else (np.zeros(0, np.uint32),) * 3
+        sizes = size[at].astype(np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(total)] if total else np.zeros(0, np.uint32)
+        flat = ids[np.repeat(begin[at] - (ends - sizes), sizes) + np.arange(total)] if total else np.zeros(0, np.uint32)
         upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]  # ids before each text
         return np.insert(flat, upto[1:], 0).astype("<u4"), upto + np.arange(len(upto))
 
