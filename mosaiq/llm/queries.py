@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, mixing, ogg, packing, substring_index
+from . import credentials, minhash, mixing, ogg, packing, substring_index
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_index": substring_index.op1,
+        "op5_minhash_dedup": minhash.op5,
         "op6_ogg_media": ogg.op6,
         "op7_best_fit_packing": packing.op7,
         "op8_credential_linking": credentials.op8,
