@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, minhash, mixing, ogg, packing, run_index, substring_index, url_filter
+from . import credentials, minhash, mixing, ogg, packing, quality_rules, run_index, substring_index, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_index": substring_index.op1,
         "op2_url_aliases": url_filter.op2,
+        "op3_weak_supervision": quality_rules.op3,
         "op4_run_length_index": run_index.op4,
         "op5_minhash_dedup": minhash.op5,
         "op6_ogg_media": ogg.op6,
