@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, minhash, mixing, ogg, packing, quality_rules, run_index, substring_index, url_filter
+from . import credentials, minhash, mixing, ogg, packing, quality_model, quality_rules, run_index, substring_index, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ogg_media": ogg.op6,
         "op7_best_fit_packing": packing.op7,
         "op8_credential_linking": credentials.op8,
+        "op9_fourier_quality": quality_model.op9,
         "op10_curriculum_mix": mixing.op10,
     }
 
