@@ -1,8 +1,66 @@
-"""The corpus pipeline (stages are added as their operators exist)."""
+"""The corpus pipeline: classify, deduplicate, redact, mix, pack.
 
-STAGES: list = []
-ORACLE_SQL = None
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet and read again as the next stage's
+docs. All but the last return the columns of ``docs``, whatever these are.
 
+Defined results: rows with null or empty texts are scored like others and usually go
+in the first stage; a null id is never held out and loses no group to another null;
+repeated rows are one group of copies; empty tables give empty results.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stage yet")
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from mosaiq.llm import credentials, minhash, mixing, packing, quality_model
+from mosaiq.llm.store import materialize
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labels of this table's documents."""
+    return quality_model.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    return minhash.deduplicated(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with credentials replaced in their texts."""
+    return credentials.redacted(docs, n_chars="n_chars" if "n_chars" in docs.columns else None)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in the order of the curriculum."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed sequences' pieces."""
+    return packing.pack_documents(docs, packing.tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("minhash_near_dedup", near_duplicates),
+    ("secret_scans", secrets),
+    ("source_mix", mix),
+    ("best_fit_packing", pack),
+]
+
+#: Fitted models, MinHash and packing have no SQL form; the stages are tested against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

@@ -145,9 +145,13 @@ def _redact(it: Iterator[pa.RecordBatch], at: int, reach: int) -> Iterator[pa.Re
         yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
 
-def redacted(docs: DataFrame, reach: int = 300, text: str = "text") -> DataFrame:
-    """The same table with every found span replaced in ``text``; no row is dropped."""
-    return docs.mapInArrow(partial(_redact, at=docs.columns.index(text), reach=reach), docs.schema)
+def redacted(docs: DataFrame, reach: int = 300, text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """The same table with every found span replaced in ``text``; no row is dropped.
+
+    A column named by ``n_chars`` gets the new texts' lengths.
+    """
+    out = docs.mapInArrow(partial(_redact, at=docs.columns.index(text), reach=reach), docs.schema)
+    return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars else out
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

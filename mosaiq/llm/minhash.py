@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .store import materialize, partitions
+from .substring_index import row_key
 from .textops import LOWER, Poly, buffers, mix, seeds, slice_rows, slices, word_bounds
 
 LAST = (1 << 63) - 1
@@ -83,8 +84,8 @@ def _sketch(it: Iterator[pa.RecordBatch], width: int, side: int, rows: int, m: i
             step = pa.array(np.arange(n + 1, dtype=np.int32) * (2 * side))
             sigs = np.ascontiguousarray(mix(least).astype(np.uint8).T).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, n), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(step, flat), pa.array([sigs[m * i : m * (i + 1)] for i in range(n)], pa.binary())],
-                names=["doc_id", "node", "n_shingles", "keys", "sig"],
+                [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(step, flat), pa.array([sigs[m * i : m * (i + 1)] for i in range(n)], pa.binary())],
+                names=["doc_id", "key_tag", "node", "n_shingles", "keys", "sig"],
             )
 
 
@@ -210,10 +211,10 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: int = 8, rows: int = 2, signature: int = 64, part: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each document: doc_id, n_shingles, node, component_id (the smallest id linked to it, over any chain)."""
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """For each document: doc_id, n_shingles, component_id (the smallest id linked to it, over any chain), label (its group), key_tag."""
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text)[1].alias("key_tag"))
     least = agreements(signature, percent / 100)
-    sketched = materialize(base.mapInArrow(partial(_sketch, width=width, side=side, rows=rows, m=signature), "doc_id bigint, node bigint, n_shingles bigint, keys array<bigint>, sig binary"), "minhash")
+    sketched = materialize(base.mapInArrow(partial(_sketch, width=width, side=side, rows=rows, m=signature), "doc_id bigint, key_tag bigint, node bigint, n_shingles bigint, keys array<bigint>, sig binary"), "minhash")
     nodes = materialize(sketched.where("node IS NOT NULL").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "minhash-nodes")
 
     # 2. table groups of two or more, in parts
@@ -252,8 +253,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: in
 
     whole = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     smallest = whole.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = whole.join(smallest, "label").select("node", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
-    return sketched.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    named = whole.join(smallest, "label").select("node", "label", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
+    out = sketched.select("doc_id", "key_tag", "n_shingles", "node").join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label", "key_tag")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest id, and all without words."""
+    found = materialize(near_duplicates(docs, doc_id=doc_id, text=text, **options), "near-duplicates")
+    key = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("i"), F.col("key_tag").alias("t"))
+    first = found.where("label IS NOT NULL").groupBy("label").agg(F.min(key).alias("k")).select("k.i", "k.t")
+    stay = first.unionByName(found.where("label IS NULL").select(key.alias("k")).select("k.i", "k.t").distinct())
+    key_id, key_tag = row_key(doc_id, text)
+    keyed = docs.select("*", key_id.alias("_i"), key_tag.alias("_t"))
+    rows = keyed.join(stay, (F.col("_i") == F.col("i")) & (F.col("_t") == F.col("t")), "left_semi")
+    # rows that agree in id and text are copies too, unless they have no words
+    worded = F.col(text).rlike(r"[^\x20\x09-\x0D]")
+    once = rows.where(worded).dropDuplicates(["_i", "_t"])
+    return once.unionByName(rows.where(~F.coalesce(worded, F.lit(False)))).select(docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -244,5 +244,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, doc_id:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "raw")
 
 
+def _accept(it: Iterator[pa.RecordBatch], at: int, fourier: Fourier, knots: np.ndarray, values: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        data, offsets = buffers(batch.column(at))
+        for lo, hi in slices(offsets, 1 << 20):
+            raw = fourier.raw(statistics(*slice_rows(data, offsets, lo, hi)).astype(np.float64))
+            score = np.interp(raw, knots, values) if len(knots) else np.full(len(raw), values[0])
+            yield batch.slice(lo, hi - lo).filter(pa.array(score >= threshold))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` or more; a second scan scores them in place, without a shuffle of texts."""
+    model = fit(materialize(measure(docs, doc_id, text), "statistics"), labels)
+    return docs.mapInArrow(partial(_accept, at=docs.columns.index(text), fourier=model.fourier, knots=model.knots, values=model.values, threshold=threshold), docs.schema)
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

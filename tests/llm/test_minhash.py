@@ -17,7 +17,7 @@ def shingle_set(text, width=5):
     return frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=85, groups=False):
     sets = [(LAST if r[0] is None else r[0], shingle_set(r[1])) for r in rows]
     up = list(range(len(sets)))
 
@@ -31,6 +31,8 @@ def brute(rows, percent=85):
             y = sets[j][1]
             if x and y and 100 * len(x & y) >= percent * len(x | y):
                 up[find(i)] = find(j)
+    if groups:  # the smallest (id, position) of each group of texts with words
+        return sorted({min((d, j) for j, (d, y) in enumerate(sets) if y and find(j) == find(i)) for i, (_, x) in enumerate(sets) if x})
     least = {}
     for i, (d, _) in enumerate(sets):
         least[find(i)] = min(least.get(find(i), d), d)
