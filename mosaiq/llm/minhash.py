@@ -100,7 +100,7 @@ def _sets(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
 
 
 FEW = 8
-PARTNERS = 6
+PARTNERS = 2
 
 
 def _forest(agree: np.ndarray, least: int) -> set[tuple[int, int]]:
@@ -210,7 +210,7 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return df.where(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select(pairs.columns)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: int = 8, rows: int = 2, signature: int = 64, part: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: int = 8, rows: int = 2, signature: int = 128, part: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: doc_id, n_shingles, component_id (the smallest id linked to it, over any chain), label (its group), key_tag."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text)[1].alias("key_tag"))
     least = agreements(signature, percent / 100)
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: in
     links, labels, left = None, None, pairs
     for last in (False, False, True):
         if labels is not None:
-            left = _across(left, labels)
+            left = materialize(_across(left, labels), "minhash-left")
         chosen = left.select("a", "b") if last else _nearest(left)
         found = materialize(_verified(chosen, sets, percent), "minhash-links")
         links = found if links is None else links.unionByName(found)
