@@ -123,5 +123,6 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return ordered(plan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    planned = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ordered(planned).select("doc_id", "size", "source_size", "target", "taken", "source", "position", "passes")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, minhash, mixing, ogg, packing, quality_model, quality_rules, run_index, substring_index, url_filter
+from . import credentials, minhash, mixing, ogg, oracles, packing, quality_model, quality_rules, run_index, substring_index, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others fit models, pack, mix by a hash order, or make binary forms: they are tested against brute force."""
+    return {"op1_substring_index": oracles.OP1, "op2_url_aliases": oracles.OP2, "op4_run_length_index": oracles.OP4, "op5_minhash_dedup": oracles.OP5}
