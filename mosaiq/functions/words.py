@@ -78,3 +78,23 @@ def restarts(mcu_count: Column, interval: Column) -> Column:
     """The numbers of the restart markers of a frame, in order."""
     n = F.when(interval > 0, F.floor((mcu_count - 1) / interval)).otherwise(0).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i % 8)).otherwise(F.array().cast("array<int>"))
+
+
+def expanded(argv: Column, value: Column) -> Column:
+    """A decoder's arguments with ``{jpeg}`` replaced by the file, or the file appended where no argument asks for it."""
+    asked = F.exists(argv, lambda a: a.contains("{jpeg}"))
+    return F.when(asked, F.transform(argv, lambda a: F.replace(a, F.lit("{jpeg}"), value))).otherwise(F.concat(argv, F.array(value)))
+
+
+def same_settings(a: list[Column], b: list[Column]) -> Column:
+    """Null-safe equality of all settings."""
+    out = F.lit(True)
+    for x, y in zip(a, b, strict=True):
+        out = out & x.eqNullSafe(y)
+    return out
+
+
+def in_domain(name: str, v: Column) -> Column:
+    """Whether a setting lies in its domain; null does not."""
+    domains = {"quality": v.between(1, 100), "restart_interval": v.between(0, 65535), "positive": v > 0, "nonnegative": v >= 0, "finite": ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf"))}
+    return F.coalesce(domains[name], F.lit(False))

@@ -71,3 +71,41 @@ def file_records(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """(path, exists, n_bytes, sha256) of all wanted paths; ``found`` has (path, content)."""
     have = found.select("path", F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
     return wanted.select("path").distinct().join(have, "path", "left").select("path", F.col("n_bytes").isNotNull().alias("exists"), "n_bytes", "sha256")
+
+
+def subset_matches(expected: Column, actual: Column) -> Column:
+    """Whether every field of one string map stands in another with the same value."""
+    return F.forall(F.map_entries(expected), lambda e: F.get(F.map_values(F.map_filter(actual, lambda k, v: k == e["key"])), F.lit(0)).eqNullSafe(e["value"]))
+
+
+def same_positions(expected: Column, actual: Column) -> Column:
+    """Whether two lists agree in length and at every position."""
+    return (F.size(expected) == F.size(actual)) & F.forall(F.zip_with(expected, actual, lambda a, b: a.eqNullSafe(b)), lambda x: x)
+
+
+def distinct_by_field(records: DataFrame, fields: list[str], order: str) -> DataFrame:
+    """(field, values): each field's distinct values over all records, in the order in which they are first seen."""
+    long = records.select(order, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([order], fields, "field", "value")
+    return first_seen(long, ["field"], "value", order)
+
+
+def run_records(facts: DataFrame, checks: DataFrame) -> DataFrame:
+    """(path, record): one JSON record for each file, its facts and the summary of its checks, keys sorted."""
+    s = summary(checks, ["path"])
+    cols = sorted(c for c in facts.columns if c != "path")
+    body = F.struct(F.struct("complete", "failed", "n", "n_failed", "n_passed").alias("checks"), F.struct(*cols).alias("facts"), F.col("path").alias("path"), F.lit(1).alias("schema_version"))
+    return facts.join(s, "path").select("path", F.to_json(body, {"ignoreNullFields": "false"}).alias("record"))
+
+
+def rechecked(records: DataFrame, checks: DataFrame) -> DataFrame:
+    """(path, problem) of saved records: not strict JSON, wrong version, or a summary that differs from the recomputed one."""
+    now = summary(checks, ["path"]).select("path", F.col("n_passed").alias("now_passed"), F.col("n_failed").alias("now_failed"))
+    v = strict(records.select("path", F.col("record").alias("text"))).join(now, "path", "left")
+    number = lambda at: F.try_variant_get("v", at, "bigint")
+    problem = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when((kind(F.col("v"), "$.schema_version") != "int") | ~F.coalesce(number("$.schema_version") == 1, F.lit(False)), "schema version")
+        .when(~is_true(F.col("v"), "$.checks.complete"), "not complete")
+        .when(~number("$.checks.n_passed").eqNullSafe(F.col("now_passed")) | ~number("$.checks.n_failed").eqNullSafe(F.col("now_failed")), "summary differs")
+    )
+    return v.select("path", problem.alias("problem")).where("problem IS NOT NULL")

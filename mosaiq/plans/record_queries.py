@@ -260,3 +260,53 @@ def ppm_files(spark, sf):
     keys = i.table(spark, sf, "lineitem").select((F.col("l_linenumber") * 1000 + F.col("l_orderkey") % 50).alias("k")).distinct()
     found = images.ppm(keys.select(F.concat(F.lit("p"), "k").alias("path"), F.concat(head, body).cast("binary").alias("content")))
     return found.select("path", "width", "height", "error")
+
+
+@query("SELECT o_orderkey, array_to_string(CASE WHEN list_bool_or([contains(x, '{jpeg}') for x in a]) THEN [replace(x, '{jpeg}', f) for x in a] ELSE list_append(a, f) END, ' ') AS argv FROM (SELECT o_orderkey, o_orderkey || '.jpg' AS f, CASE WHEN o_orderkey % 2 = 0 THEN ['decode', '--in={jpeg}', o_orderpriority] ELSE ['decode', o_orderpriority] END AS a FROM orders)")
+def decoder_arguments(spark, sf):
+    plain = F.array(F.lit("decode"), F.col("o_orderpriority"))
+    asked = F.array(F.lit("decode"), F.lit("--in={jpeg}"), F.col("o_orderpriority"))
+    argv = F.when(F.col("o_orderkey") % 2 == 0, asked).otherwise(plain)
+    return i.table(spark, sf, "orders").select("o_orderkey", F.array_join(words.expanded(argv, F.concat(F.col("o_orderkey").cast("string"), F.lit(".jpg"))), " ").alias("argv"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(l_quantity AS BIGINT) * 3 - 20 BETWEEN 1 AND 100 AS quality_ok, l_partkey * 400 BETWEEN 0 AND 65535 AS interval_ok, l_suppkey IS NOT DISTINCT FROM nullif(l_linenumber, 1) AND l_tax IS NOT DISTINCT FROM l_discount AS same, count(*) AS n FROM lineitem GROUP BY ALL""")
+def setting_domains(spark, sf):
+    li = i.table(spark, sf, "lineitem")
+    q = F.col("l_quantity").cast("bigint")
+    same = words.same_settings([F.col("l_suppkey"), F.col("l_tax")], [F.nullif(F.col("l_linenumber").cast("bigint"), F.lit(1).cast("bigint")), F.col("l_discount")])
+    out = li.select("l_orderkey", "l_linenumber", q.alias("q"), words.in_domain("quality", q * 3 - 20).alias("quality_ok"), words.in_domain("restart_interval", F.col("l_partkey") * 400).alias("interval_ok"), same.alias("same"))
+    return out.groupBy(out.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AS subset_ok, o_orderkey % 3 = 1 AS positions_ok FROM orders")
+def record_matches(spark, sf):
+    o = i.table(spark, sf, "orders")
+    actual = F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus"), F.lit("more"), F.lit("x"))
+    wanted = F.create_map(F.lit("priority"), F.lit("1-URGENT"), F.lit("status"), F.lit("F"))
+    k = F.col("o_orderkey") % 3
+    listed = F.when(k == 0, F.array(F.lit(1))).when(k == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2), F.lit(1)))
+    return o.select("o_orderkey", evidence.subset_matches(wanted, actual).alias("subset_ok"), evidence.same_positions(F.array(F.lit(1), F.lit(2)), listed).alias("positions_ok"))
+
+
+@query("SELECT field, array_to_string(list(value ORDER BY seen), ',') AS found FROM (SELECT field, value, min(o_orderkey) AS seen FROM (UNPIVOT (SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority FROM orders) ON status, priority INTO NAME field VALUE value) GROUP BY 1, 2) GROUP BY 1")
+def distinct_by_field(spark, sf):
+    o = i.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return evidence.distinct_by_field(o, ["status", "priority"], "o_orderkey").select("field", F.array_join("values", ",").alias("found"))
+
+
+@query(f"""WITH {GATES}, s AS (SELECT path, count(*) AS n, count(*) FILTER (passed) AS p, coalesce(string_agg('"' || rule || '"', ',' ORDER BY rule) FILTER (NOT passed), '') AS f FROM gt GROUP BY 1)
+  SELECT path, '{{{{"checks":{{{{"complete":' || (n = p) || ',"failed":[' || f || '],"n":' || n || ',"n_failed":' || (n - p) || ',"n_passed":' || p || '}}}},"facts":{{{{"kind":"' || split_part(path, '/', 1) || '"}}}},"path":"' || path || '","schema_version":1}}}}' AS record FROM s""".replace("{{", "{").replace("}}", "}"))
+def evidence_records(spark, sf):
+    rows = report_rows(spark, sf)
+    return evidence.run_records(rows.select("path", "kind"), reports.gates(rows))
+
+
+@query(f"WITH {GATES}, s AS (SELECT path, bool_and(passed) AS ok FROM gt GROUP BY 1) SELECT path, CASE WHEN NOT ok THEN 'not complete' ELSE 'summary differs' END AS problem FROM s WHERE NOT ok OR ends_with(path, '/7')")
+def evidence_recheck(spark, sf):
+    """Saved records against recomputed checks; the records of one supplier were tampered with."""
+    rows = report_rows(spark, sf)
+    checks = reports.gates(rows)
+    saved = evidence.run_records(rows.select("path", "kind"), checks)
+    odd = F.regexp_replace("record", '"n_passed":[0-9]+', '"n_passed":99')
+    return evidence.rechecked(saved.withColumn("record", F.when(F.col("path").endswith("/7"), odd).otherwise(F.col("record"))), checks)
