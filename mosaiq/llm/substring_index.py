@@ -63,7 +63,16 @@ def _emit(it: Iterator[pa.RecordBatch], width: int, n: int, flush: int) -> Itera
 
     def out():
         key, check, doc, tag, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        found = []
+        # what this task sees in a smaller document itself is decided here: a window of a
+        # hot passage is sent once for each task, not once for each document
+        whole = (key & ~np.uint64(0xFFFFFF)) | (check & np.uint64(0xFFFFFF))
+        order = np.argsort(whole)
+        starts, counts = blocks.runs_of(whole[order])
+        smallest = np.empty(len(doc), np.int64)
+        smallest[order] = np.repeat(np.minimum.reduceat(doc[order], starts), counts)
+        known = doc > smallest
+        found = blocks.locate(doc[known], tag[known], pos[known], n, HIT) if known.any() else []
+        key, check, doc, tag, pos = (x[~known] for x in (key, check, doc, tag, pos))
         for b, i in blocks.by_bucket((key % np.uint64(n)).astype(np.int64), n):
             d, t = doc[i], tag[i]
             starts = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]))))
@@ -93,8 +102,10 @@ def _merge_join(it: Iterator[pa.RecordBatch], n: int, compact: bool) -> Iterator
     new: dict[int, list[bytes]] = {}
     for batch in it:
         kinds, buckets = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        yield batch.filter(pa.array(kinds == HIT))  # decided before
         for i, (k, b) in enumerate(zip(kinds.tolist(), buckets.tolist(), strict=True)):
-            (runs if k == RUN else new).setdefault(b, []).append(batch.column(2)[i].as_py())
+            if k != HIT:
+                (runs if k == RUN else new).setdefault(b, []).append(batch.column(2)[i].as_py())
     for b in sorted(set(runs) | set(new)):
         old = [blocks.expand(x) for x in runs.pop(b, [])]
         keys, docs, tags, poss = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -181,7 +192,7 @@ def cut_points(docs: DataFrame, doc_id: str, batches: int) -> list[int]:
     return sorted({int(p) for p in points})
 
 
-def substring_dedup(docs: DataFrame, width: int = 13, batches: int = 3, fanout: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 13, batches: int = 4, fanout: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Cut from every document the words of windows that also start in a document with a smaller id.
 
     Documents enter the index in ``batches`` ranges of ids. Returns doc_id, n_words,
