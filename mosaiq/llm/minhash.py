@@ -265,12 +265,12 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     first = found.where("label IS NOT NULL").groupBy("label").agg(F.min(key).alias("k")).select("k.i", "k.t")
     stay = first.unionByName(found.where("label IS NULL").select(key.alias("k")).select("k.i", "k.t").distinct())
     key_id, key_tag = row_key(doc_id, text)
-    keyed = docs.select("*", key_id.alias("_i"), key_tag.alias("_t"))
-    rows = keyed.join(stay, (F.col("_i") == F.col("i")) & (F.col("_t") == F.col("t")), "left_semi")
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.select(F.struct("*").alias("row"), key_id.alias("i"), key_tag.alias("t"), worded.alias("worded"))
+    rows = keyed.join(stay, ["i", "t"], "left_semi")
     # rows that agree in id and text are copies too, unless they have no words
-    worded = F.col(text).rlike(r"[^\x20\x09-\x0D]")
-    once = rows.where(worded).dropDuplicates(["_i", "_t"])
-    return once.unionByName(rows.where(~F.coalesce(worded, F.lit(False)))).select(docs.columns)
+    once = rows.where("worded").dropDuplicates(["i", "t"])
+    return once.unionByName(rows.where("NOT worded")).select("row.*")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

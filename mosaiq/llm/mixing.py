@@ -109,17 +109,19 @@ def ordered(planned: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents as the mix takes them: each as often as it is taken, rounded, in order of position."""
     planned = plan(docs, doc_id=doc_id, text=text, source=source, **options)
-    copies = planned.where("size > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"), F.col("position").alias("_position"))
-    copies = copies.where("_copies > 0").groupBy("_d", "_h", "_s").agg(F.sum("_copies").alias("_copies"), F.min("_position").alias("_position"), F.count(F.lit(1)).alias("_rows"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_h")) & F.col(source).cast("string").eqNullSafe(F.col("_s"))
-    once = docs.join(copies, same, "inner")
+    keys = ["doc_id", "text_hash", "source"]
+    copies = planned.where("size > 0").select(*keys, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"), "position")
+    copies = copies.where("copies > 0").groupBy(*keys).agg(F.sum("copies").alias("copies"), F.min("position").alias("position"), F.count(F.lit(1)).alias("rows"))
+    held = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("h"), F.col(source).cast("string").alias("s"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")) & F.col("s").eqNullSafe(F.col("source"))
+    once = held.join(copies, same, "inner")
     # repeated rows share their copies evenly
-    times = F.greatest(F.lit(1), F.floor(F.col("_copies") / F.col("_rows"))).cast("int")
-    out = once.withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
+    times = F.greatest(F.lit(1), F.floor(F.col("copies") / F.col("rows"))).cast("int")
+    out = once.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
     # positions lie evenly in [0, 1], up to the weights' range: equal steps need no sampling of texts
     n = partitions(docs.sparkSession)
-    step = F.least(F.lit(n - 1), F.floor(F.col("_position") * n)).cast("int")
-    return out.repartitionById(n, step).sortWithinPartitions("_position", doc_id, "_copy").select(*docs.columns)
+    step = F.least(F.lit(n - 1), F.floor(F.col("position") * n)).cast("int")
+    return out.repartitionById(n, step).sortWithinPartitions("position", "d", "copy").select("row.*")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

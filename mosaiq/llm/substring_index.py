@@ -141,7 +141,7 @@ def _merge_join(it: Iterator[pa.RecordBatch], n: int, compact: bool) -> Iterator
 class WindowIndex:
     """The log-structured index: its live runs, oldest first, in ``n`` buckets."""
 
-    def __init__(self, n: int, width: int = 13, fanout: int = 2, flush: int = 2_000_000):
+    def __init__(self, n: int, width: int = 13, fanout: int = 2, flush: int = 1_000_000):
         self.n, self.width, self.fanout, self.flush = n, width, fanout, flush
         self.runs: list[DataFrame] = []
 

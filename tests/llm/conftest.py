@@ -49,7 +49,7 @@ def edge_rows():
 
 @pytest.fixture(scope="session")
 def edge_docs(spark, edge_rows):
-    return spark.createDataFrame(edge_rows, SCHEMA).selectExpr("*", "'x' AS key_id", "1 AS bucket", "2.5 AS kept", "array(1) AS positions", "'t' AS _g").repartition(3).cache()
+    return spark.createDataFrame(edge_rows, SCHEMA).selectExpr("*", "'x' AS key_id", "1 AS bucket", "2.5 AS kept", "array(1) AS positions", "'t' AS _g", "1 AS _i", "2 AS i", "3 AS t", "4 AS d", "5 AS copies", "'r' AS row", "0.5 AS position", "1 AS node", "2 AS label", "3 AS taken", "4 AS _copies").repartition(3).cache()
 
 
 @pytest.fixture(scope="session")
