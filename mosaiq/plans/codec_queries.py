@@ -95,6 +95,12 @@ def tiled_blocks(spark, sf):
     return out.select("frame_id", "mcu", "blk", "component", F.array_join("samples", ",").alias("samples"))
 
 
+@query(SQL["tiled_blocks"])
+def tiled_blocks_relational(spark, sf):
+    out = tiles.blocks_relational(i.pixels(spark, sf), i.frames(spark, sf))
+    return out.select("frame_id", "mcu", "blk", "component", F.array_join("samples", ",").alias("samples"))
+
+
 def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows) + ")"
 
