@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 def texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, text) of text files, one row each; bytes that are not UTF-8 are replaced."""
-    return binaries(spark, path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return binaries(spark, path).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def binaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
