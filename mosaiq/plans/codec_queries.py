@@ -68,7 +68,7 @@ def image_generators(spark, sf):
     return out
 
 
-@query("""SELECT o_orderkey, w, h, w > 0 AND w <= 1920 AND h > 0 AND h <= 1080 AS ok, CASE WHEN s THEN ((w + 15) // 16) * ((h + 15) // 16) ELSE ((w + 7) // 8) * ((h + 7) // 8) END AS mcus
+@query("""SELECT o_orderkey, w, h, w > 0 AND w <= 1920 AND h > 0 AND h <= 1080 AS ok, CAST(CASE WHEN s THEN ((w + 15) // 16) * ((h + 15) // 16) ELSE ((w + 7) // 8) * ((h + 7) // 8) END AS BIGINT) AS mcus
   FROM (SELECT o_orderkey, CAST(o_custkey * 13 % 2100 AS INT) AS w, CAST(o_orderkey * 7 % 1200 AS INT) AS h, o_orderkey % 2 = 0 AS s FROM orders)""")
 def frame_support(spark, sf):
     f = i.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") * 13 % 2100).cast("int").alias("width"), (F.col("o_orderkey") * 7 % 1200).cast("int").alias("height"), (F.col("o_orderkey") % 2 == 0).alias("s"))

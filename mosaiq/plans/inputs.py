@@ -64,7 +64,6 @@ def renamed_traces(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.captures import BOUNDARIES
 
     names = F.array(*[F.lit(b) for b in BOUNDARIES])
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf, "events").select((F.col("user_id") % 20).cast("string").alias("scenario"), F.col("event_id").alias("cycle"), F.get(names, (F.col("event_id") % 14).cast("int")).alias("boundary"), F.lit(1).alias("valid"), (F.col("event_id") % 4 != 1).cast("int").alias("ready"))
 
 

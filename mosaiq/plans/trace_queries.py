@@ -144,7 +144,7 @@ def target_checks(spark, sf):
 
 
 @query(f"""WITH {i.CAPTURE}, cs AS (SELECT *, CASE WHEN valid = 1 AND ready = 1 THEN 'transfer' ELSE 'blocked' END AS state FROM cap), rn AS (SELECT scenario, boundary, state, min(cycle) AS s, count(*) AS n FROM (SELECT *, cycle - row_number() OVER (PARTITION BY scenario, boundary, state ORDER BY cycle) AS g FROM cs) GROUP BY scenario, boundary, state, g)
-  SELECT scenario, boundary AS track, state AS name, round(s * 0.01, 6) AS ts, round(n * 0.01, 6) AS dur FROM rn UNION ALL SELECT x.scenario, stage || '_latency', stage || ' ' || x.i, round(x.cycle * 0.01, 6), round(greatest(1, y.cycle - x.cycle) * 0.01, 6) FROM {STAGE} JOIN fires x ON x.boundary = a JOIN fires y ON y.boundary = b AND y.scenario = x.scenario AND y.i = x.i""")
+  SELECT scenario, boundary AS track, state AS name, round(CAST(s AS DOUBLE) * 0.01, 6) AS ts, round(CAST(n AS DOUBLE) * 0.01, 6) AS dur FROM rn UNION ALL SELECT x.scenario, stage || '_latency', stage || ' ' || x.i, round(CAST(x.cycle AS DOUBLE) * 0.01, 6), round(CAST(greatest(1, y.cycle - x.cycle) AS DOUBLE) * 0.01, 6) FROM {STAGE} JOIN fires x ON x.boundary = a JOIN fires y ON y.boundary = b AND y.scenario = x.scenario AND y.i = x.i""")
 def timeline_events(spark, sf):
     samples = i.renamed_traces(spark, sf)
     return rounded(trace.timeline(samples, trace.transfers(samples)).drop("json"), "ts", "dur")
