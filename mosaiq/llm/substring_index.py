@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import blocks
 from .store import materialize, partitions
-from .textops import Poly, buffers, coverage, mix, slice_rows, slices, window_starts, word_bounds
+from .textops import Poly, buffers, coverage, slice_rows, slices, window_starts, word_bounds
 
 WINDOWS, RUN, HIT = 0, 1, 2
 LAST = (1 << 63) - 1
@@ -204,7 +204,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, batches: int = 4, fanout:
     hits = None
     edges = [None, *cut_points(docs, doc_id, batches), None]
     ident = F.col(doc_id).cast("long")
-    for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+    for lo, hi in zip(edges, edges[1:], strict=False):
         part = docs
         if lo is not None:
             part = part.where((ident > lo) | ident.isNull() if hi is None else ident > lo)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 64  # prefix sums then fit tables of 2^20 powers
 
 NONWS = np.ones(256, dtype=bool)
 NONWS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
