@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .prefix import running
 from .store import materialize
-from .textops import buffers, slices
+from .textops import buffers, slice_rows, slices
 
 CAPACITY = 2048
-WORDS_HELD = 1_200_000  # about 300 MB for each worker; beyond it a worker starts afresh
+WORDS_HELD = 1_000_000  # about 250 MB for each worker; beyond it a worker starts afresh
 ENDINGS = b".,!?;:"
 
 
@@ -152,9 +152,10 @@ def _pieces(it: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[
     for batch in it:
         data, offsets = buffers(batch.column(1))
         doc_ids = batch.column(0)
-        raw = data.tobytes()
-        for lo, hi in slices(offsets, 1 << 20):
-            ids, at = encoder.encode([raw[a:b] for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)])
+        for lo, hi in slices(offsets):
+            part, places = slice_rows(data, offsets, lo, hi)
+            raw = part.tobytes()
+            ids, at = encoder.encode([raw[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)])
             size = np.diff(at)
             n = -(-size // capacity)
             row = np.repeat(np.arange(len(size)), n)
