@@ -1,15 +1,15 @@
 """Entropy coding: symbols, tokens, bit runs, packed segments, assembled streams.
 
 Two forms: a relational one (windows over coefficients, ordered string aggregation),
-and ``segments``, one Arrow call for each restart segment, which is the natural unit
-of parallel work, as predictors and bits start afresh there. Without restarts a frame
-is one unit; its size is bounded by the largest supported frame.
+and ``segments``, one Arrow call for each frame, whose size is bounded by the largest
+supported frame; all its restart segments are packed in one vectorised pass.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import color, standard
@@ -105,13 +105,19 @@ def _bits_of(values: np.ndarray) -> np.ndarray:
     return np.frexp(np.abs(values).astype(np.float64))[1].astype(np.int64)
 
 
-def encode_segment(component: np.ndarray, coeffs: np.ndarray) -> bytes:
-    """Scan bytes of the blocks of one segment in scan order: (n,) components, (n, 64) zig-zag values."""
-    n = len(component)
+def encode_segments(segment: np.ndarray, component: np.ndarray, coeffs: np.ndarray) -> list[bytes]:
+    """Scan bytes of each segment: (n,) ascending segments, (n,) components, (n, 64) zig-zag values, blocks in scan order."""
+    n = len(segment)
+    if not n:
+        return []
+    fresh = np.concatenate(([True], segment[1:] != segment[:-1]))
+    ordinal = np.cumsum(fresh) - 1
     diff = np.zeros(n, np.int64)
     for c in range(3):
         own = np.flatnonzero(component == c)
-        diff[own] = np.diff(coeffs[own, 0], prepend=0)
+        dc = coeffs[own, 0].astype(np.int64)
+        diff[own] = dc
+        diff[own[1:]] -= np.where(ordinal[own[1:]] == ordinal[own[:-1]], dc[:-1], 0)
     luma = component == 0
     block, k = np.nonzero(coeffs[:, 1:])
     k += 1
@@ -119,61 +125,79 @@ def encode_segment(component: np.ndarray, coeffs: np.ndarray) -> bytes:
     first = np.concatenate(([True], block[1:] != block[:-1])) if len(block) else np.zeros(0, bool)
     gap = k - np.where(first, 0, np.concatenate(([0], k[:-1]))[: len(k)]) - 1
     size = _bits_of(value)
-    zb = np.repeat(block, gap // 16)
-    zk = np.repeat(k, gap // 16)
-    zi = np.arange(len(zb)) - np.repeat(np.cumsum(gap // 16) - gap // 16, gap // 16)
+    zeros = gap // 16
+    zb, zk = np.repeat(block, zeros), np.repeat(k, zeros)
+    zi = np.arange(len(zb)) - np.repeat(np.cumsum(zeros) - zeros, zeros)
     last = np.zeros(n, np.int64)
     np.maximum.at(last, block, k)
     eb = np.flatnonzero(last < 63)
     ds = _bits_of(diff)
-    rows_block = np.concatenate((np.arange(n), block, zb, eb))
-    rows_order = np.concatenate((np.zeros(n, np.int64), k * 64 + 63, zk * 64 + zi, np.full(len(eb), 1 << 20)))
+    at = np.concatenate((np.arange(n), block, zb, eb))
+    place = np.concatenate((np.zeros(n, np.int64), k * 64 + 63, zk * 64 + zi, np.full(len(eb), 1 << 20)))
     symbol = np.concatenate((ds, (gap % 16) * 16 + size, np.full(len(zb), 0xF0), np.zeros(len(eb), np.int64)))
     size = np.concatenate((ds, size, np.zeros(len(zb) + len(eb), np.int64)))
     value = np.concatenate((diff, value, np.zeros(len(zb) + len(eb), np.int64)))
-    dc = np.concatenate((np.ones(n, bool), np.zeros(len(rows_block) - n, bool)))
-    order = np.lexsort((rows_order, rows_block))
-    rows_block, symbol, size, value, dc = (x[order] for x in (rows_block, symbol, size, value, dc))
-    if (symbol > 255).any() or (size[dc] > 11).any() or (size[~dc] > 10).any():
+    dc = np.concatenate((np.ones(n, bool), np.zeros(len(at) - n, bool)))
+    order = np.lexsort((place, at))
+    at, symbol, size, value, dc = (x[order] for x in (at, symbol, size, value, dc))
+    if (size[dc] > 11).any() or (size[~dc] > 10).any():
         raise ValueError("a coefficient is outside the baseline range")
     code, length = np.zeros(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
     for is_luma in (True, False):
         for is_dc in (True, False):
-            own = (luma[rows_block] == is_luma) & (dc == is_dc)
+            own = (luma[at] == is_luma) & (dc == is_dc)
             c, m = _codes(is_luma, is_dc)
             code[own], length[own] = c[symbol[own]], m[symbol[own]]
-    amplitude = np.where(value >= 0, value, value + (1 << size) - 1)
-    run, width = (code << size) | amplitude, length + size
-    ends = np.cumsum(width)
-    bits = np.ones(-(-int(ends[-1]) // 8) * 8 if len(ends) else 0, np.uint8)
+    run = (code << size) | np.where(value >= 0, value, value + (1 << size) - 1)
+    width = length + size
+    # every segment starts at a whole byte; what it leaves of its last byte stays ones
+    part = ordinal[at]
+    used = np.bincount(part, weights=width, minlength=int(ordinal[-1]) + 1).astype(np.int64)
+    size_bytes = -(-used // 8)
+    begin = np.cumsum(size_bytes) - size_bytes
+    start = np.cumsum(width) - width
+    start += (begin * 8 - (np.cumsum(used) - used))[part]
+    bits = np.ones(int(size_bytes.sum()) * 8, np.uint8)
     row = np.repeat(np.arange(len(run)), width)
-    place = np.arange(len(row)) - np.repeat(ends - width, width)
-    bits[: len(row)] = (run[row] >> (width[row] - 1 - place)) & 1
-    return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)
+    bits[start[row] + inner] = (run[row] >> (width[row] - 1 - inner)) & 1
+    raw = np.packbits(bits).tobytes()
+    return [raw[i : i + m].replace(b"\xff", b"\xff\x00") for i, m in zip(begin.tolist(), size_bytes.tolist(), strict=True)]
+
+
+def in_scan_order(mcu: np.ndarray, blk: np.ndarray, interval: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a frame's blocks, and their restart segments in that order."""
+    order = np.lexsort((blk, mcu))
+    return order, mcu[order] // interval if interval > 0 else np.zeros(len(mcu), np.int64)
+
+
+def _frame_segments(frame: pa.Table) -> pa.Table:
+    mcu, blk, component = (frame[c].to_numpy().astype(np.int64) for c in ("mcu", "blk", "component"))
+    coeffs = frame["coeffs"].combine_chunks().flatten().to_numpy().reshape(-1, 64)
+    order, segment = in_scan_order(mcu, blk, frame["restart_interval"][0].as_py())
+    scans = encode_segments(segment, component[order], coeffs[order])
+    return pa.table({"frame_id": pa.array([frame["frame_id"][0].as_py()] * len(scans), pa.int64()), "segment": pa.array(np.unique(segment).astype(np.int32)), "scan": pa.array(scans, pa.binary())})
 
 
 def segments(blocks: DataFrame) -> DataFrame:
     """(frame_id, segment, scan): each restart segment's bytes."""
+    rows = blocks.select(F.col("frame_id").cast("bigint").alias("frame_id"), F.col("mcu").cast("bigint").alias("mcu"), F.col("blk").cast("int").alias("blk"), "component", F.col("restart_interval").cast("int").alias("restart_interval"), "coeffs")
+    return rows.groupBy("frame_id").applyInArrow(_frame_segments, "frame_id bigint, segment int, scan binary")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["mcu", "blk"])
-        scan = encode_segment(part["component"].to_numpy(), np.stack(part["coeffs"].to_numpy()).astype(np.int64))
-        return pd.DataFrame({"frame_id": part["frame_id"].iloc[:1].to_numpy(), "segment": part["segment"].iloc[:1].to_numpy(), "scan": [scan]})
 
-    cut = with_segments(blocks).select("frame_id", "segment", "mcu", "blk", "component", "coeffs")
-    return cut.groupBy("frame_id", "segment").applyInPandas(run, "frame_id bigint, segment int, scan binary")
+def stream(scans: list[bytes], width: int, height: int, quality: int, interval: int, subsample: bool, jfif: bool) -> bytes:
+    """Header, segments with restart markers 0 to 7 in turn between them, end marker."""
+    body = b"".join((b"\xff" + bytes([0xD0 + (k - 1) % 8]) if k else b"") + s for k, s in enumerate(scans))
+    return standard.header(width, height, quality, interval, subsample, jfif) + body + b"\xff\xd9"
 
 
 def assembled(scans: DataFrame, frames: DataFrame) -> DataFrame:
-    """(frame_id, jpeg): header, segments with restart markers 0 to 7 in turn between them, end marker."""
+    """(frame_id, jpeg) from segments (see ``stream``)."""
 
     @F.pandas_udf("binary")
     def join(width: pd.Series, height: pd.Series, quality: pd.Series, interval: pd.Series, subsample: pd.Series, jfif: pd.Series, parts: pd.Series) -> pd.Series:
-        out = []
-        for w, h, q, i, s, j, p in zip(width, height, quality, interval, subsample, jfif, parts, strict=True):
-            body = b"".join((b"\xff" + bytes([0xD0 + (k - 1) % 8]) if k else b"") + bytes(x["scan"]) for k, x in enumerate(p))
-            out.append(standard.header(int(w), int(h), int(q), int(i), bool(s), bool(j)) + body + b"\xff\xd9")
-        return pd.Series(out)
+        rows = zip(width, height, quality, interval, subsample, jfif, parts, strict=True)
+        return pd.Series([stream([bytes(x["scan"]) for x in p], int(w), int(h), int(q), int(i), bool(s), bool(j)) for w, h, q, i, s, j, p in rows])
 
     whole = scans.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("segment", "scan"))).alias("parts"))
     joined = whole.join(frames, "frame_id")

@@ -97,10 +97,8 @@ def _cut(plane: np.ndarray) -> np.ndarray:
     return plane.reshape(h // 8, 8, w // 8, 8).swapaxes(1, 2).reshape(h // 8, w // 8, 64)
 
 
-def _frame_blocks(frame: pa.Table) -> pa.Table:
-    """All blocks of one frame from its pixels in any order."""
-    x, y, r, g, b = (frame[c].to_numpy().astype(np.int32) for c in ("x", "y", "r", "g", "b"))
-    width, height, subsample = (frame[c][0].as_py() for c in ("width", "height", "subsample"))
+def frame_samples(x: np.ndarray, y: np.ndarray, r: np.ndarray, g: np.ndarray, b: np.ndarray, width: int, height: int, subsample: bool) -> tuple[np.ndarray, list[int]]:
+    """Blocks (mcu, blk, 64) of one frame from its pixels in any order, and the components of an MCU's blocks."""
     planes = []
     for v in ((77 * r + 150 * g + 29 * b) >> 8, ((-43 * r - 85 * g + 128 * b) >> 8) + 128, ((128 * r - 107 * g - 21 * b) >> 8) + 128):
         plane = np.zeros((height, width), np.int32)
@@ -108,16 +106,20 @@ def _frame_blocks(frame: pa.Table) -> pa.Table:
         side = 16 if subsample else 8
         planes.append(np.pad(plane, ((0, -height % side), (0, -width % side)), mode="edge"))
     first = _cut(planes[0])
-    if subsample:
-        rows, cols = first.shape[0] // 2, first.shape[1] // 2
-        luma = first.reshape(rows, 2, cols, 2, 64).swapaxes(1, 2).reshape(rows * cols, 4, 64)
-        parts = [luma, *(_cut(_averaged(p)).reshape(rows * cols, 1, 64) for p in planes[1:])]
-        component = [0, 0, 0, 0, 1, 2]
-    else:
+    if not subsample:
         rows, cols = first.shape[:2]
-        parts = [_cut(p).reshape(rows * cols, 1, 64) for p in planes]
-        component = [0, 1, 2]
-    samples = np.concatenate(parts, axis=1)
+        return np.concatenate([_cut(p).reshape(rows * cols, 1, 64) for p in planes], axis=1), [0, 1, 2]
+    rows, cols = first.shape[0] // 2, first.shape[1] // 2
+    luma = first.reshape(rows, 2, cols, 2, 64).swapaxes(1, 2).reshape(rows * cols, 4, 64)
+    return np.concatenate([luma, *(_cut(_averaged(p)).reshape(rows * cols, 1, 64) for p in planes[1:])], axis=1), [0, 0, 0, 0, 1, 2]
+
+
+def pixel_arrays(frame: pa.Table) -> list[np.ndarray]:
+    return [frame[c].to_numpy().astype(np.int32) for c in ("x", "y", "r", "g", "b")]
+
+
+def _frame_blocks(frame: pa.Table) -> pa.Table:
+    samples, component = frame_samples(*pixel_arrays(frame), *(frame[c][0].as_py() for c in ("width", "height", "subsample")))
     n, k = samples.shape[:2]
     ends = pa.array(np.arange(n * k + 1, dtype=np.int32) * 64)
     return pa.table(
@@ -131,11 +133,15 @@ def _frame_blocks(frame: pa.Table) -> pa.Table:
     )
 
 
+def framed(pixels: DataFrame, frames: DataFrame) -> DataFrame:
+    """Valid pixels of supported frames as plain numbers, with their frame's size and mode."""
+    return _inside(pixels, frames).select(F.col("frame_id").cast("bigint").alias("frame_id"), *[F.col(c).cast("int").alias(c) for c in ("x", "y", "r", "g", "b", "width", "height")], "subsample")
+
+
 def blocks(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     """Blocks of all supported frames; frames (frame_id, width, height, subsample), pixels (frame_id, x, y, r, g, b).
 
     A pixel crosses the network once, as six numbers; a frame, whose size is bounded, is
     cut in one Arrow call. ``blocks_relational`` would send a row for each sample.
     """
-    inside = _inside(pixels, frames).select(F.col("frame_id").cast("bigint").alias("frame_id"), *[F.col(c).cast("int").alias(c) for c in ("x", "y", "r", "g", "b", "width", "height")], "subsample")
-    return inside.groupBy("frame_id").applyInArrow(_frame_blocks, BLOCK)
+    return framed(pixels, frames).groupBy("frame_id").applyInArrow(_frame_blocks, BLOCK)

@@ -30,6 +30,17 @@ def quantized(coefficients: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.sign(coefficients) * ((np.abs(coefficients) + table // 2) // table)
 
 
+def coded_samples(samples: np.ndarray, component: np.ndarray, quality: np.ndarray, step: int = 8192) -> np.ndarray:
+    """Zig-zag coefficients of (n, 64) samples, a bounded number of blocks at a time."""
+    out = np.zeros((len(samples), 64), np.int32)
+    for lo in range(0, len(samples), step):
+        part = slice(lo, lo + step)
+        tables, which = np.unique(np.stack([quality[part], component[part] > 0], axis=1), axis=0, return_inverse=True)
+        table = np.array([standard.quant(int(q), not c) for q, c in tables], dtype=np.int64)[which.ravel()]
+        out[part] = quantized(forward(samples[part]), table)[:, standard.ZIGZAG]
+    return out
+
+
 def coded(blocks: DataFrame) -> DataFrame:
     """Replace ``samples`` by ``coeffs``: transformed, quantized for ``quality`` and in zig-zag order."""
     keep = [c for c in blocks.columns if c != "samples"]
@@ -39,11 +50,8 @@ def coded(blocks: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             cols = dict(zip(batch.schema.names, batch.columns, strict=True))
-            dct = forward(cols["samples"].flatten().to_numpy().reshape(-1, 64))
-            quality, component = cols["quality"].to_numpy(), cols["component"].to_numpy()
-            tables, which = np.unique(np.stack([quality, component > 0], axis=1), axis=0, return_inverse=True)
-            table = np.array([standard.quant(int(q), not c) for q, c in tables], dtype=np.int64)[which.ravel()]
-            out = quantized(dct, table)[:, standard.ZIGZAG].astype(np.int32)
+            samples = cols["samples"].flatten().to_numpy().reshape(-1, 64)
+            out = coded_samples(samples, cols["component"].to_numpy(), cols["quality"].to_numpy())
             ends = pa.array(np.arange(len(out) + 1, dtype=np.int32) * 64)
             yield pa.RecordBatch.from_arrays([cols[c] for c in keep] + [pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=[*keep, "coeffs"])
 

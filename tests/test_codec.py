@@ -49,9 +49,14 @@ def test_segments_of_random_sparse_blocks():
     for c, z in zip(component, blocks, strict=True):
         text += model.block_bits(z[0] - last[c], z, c == 0)
         last[c] = z[0]
-    assert entropy.encode_segment(np.array(component), np.array(blocks)) == model.packed(text)
+    one = np.zeros(len(blocks), np.int64)
+    assert entropy.encode_segments(one, np.array(component), np.array(blocks)) == [model.packed(text)]
+    parts = np.arange(len(blocks)) // 5
+    alone = [entropy.encode_segments(parts[parts == p], np.array(component)[parts == p], np.array(blocks)[parts == p])[0] for p in range(6)]
+    assert entropy.encode_segments(parts, np.array(component), np.array(blocks)) == alone
+    assert entropy.encode_segments(one[:0], one[:0], np.zeros((0, 64), int)) == []
     with pytest.raises(ValueError):
-        entropy.encode_segment(np.array([0]), np.array([[0, 5000] + [0] * 62]))
+        entropy.encode_segments(np.array([0]), np.array([0]), np.array([[0, 5000] + [0] * 62]))
 
 
 CASES = [(8, 8, 50, 0, False, True), (10, 10, 50, 0, False, False), (16, 16, 90, 1, True, True), (17, 33, 100, 3, True, True), (33, 9, 1, 2, False, True), (40, 24, 75, 0, True, False), (1, 1, 30, 5, True, True)]
@@ -86,6 +91,11 @@ def test_streams_decode_to_the_coefficients(encoded):
         assert blocks == [(c, model.coded(s, q, c == 0)) for _, _, c, s in model.blocks(_pixel(k), w, h, sub)]
 
 
+def test_staged_operators_make_the_same_streams(encoded):
+    pixels, frames, out = encoded
+    assert {r.frame_id: bytes(r.jpeg) for r in jpeg.encode_staged(pixels, frames).collect()} == out
+
+
 def test_partitions_do_not_matter(encoded):
     pixels, frames, out = encoded
     again = jpeg.encode(pixels.repartition(7, "x"), frames.repartition(2)).collect()
