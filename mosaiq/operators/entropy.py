@@ -105,7 +105,7 @@ def _bits_of(values: np.ndarray) -> np.ndarray:
     return np.frexp(np.abs(values).astype(np.float64))[1].astype(np.int64)
 
 
-def encode_segments(segment: np.ndarray, component: np.ndarray, coeffs: np.ndarray) -> list[bytes]:
+def encode_segments(segment: np.ndarray, component: np.ndarray, coeffs: np.ndarray, step: int = 1 << 17) -> list[bytes]:
     """Scan bytes of each segment: (n,) ascending segments, (n,) components, (n, 64) zig-zag values, blocks in scan order."""
     n = len(segment)
     if not n:
@@ -158,9 +158,11 @@ def encode_segments(segment: np.ndarray, component: np.ndarray, coeffs: np.ndarr
     start = np.cumsum(width) - width
     start += (begin * 8 - (np.cumsum(used) - used))[part]
     bits = np.ones(int(size_bytes.sum()) * 8, np.uint8)
-    row = np.repeat(np.arange(len(run)), width)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)
-    bits[start[row] + inner] = (run[row] >> (width[row] - 1 - inner)) & 1
+    for lo in range(0, len(run), step):  # spread a bounded number of tokens at a time
+        w = width[lo : lo + step]
+        row = np.repeat(np.arange(lo, lo + len(w)), w)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
+        bits[start[row] + inner] = (run[row] >> (width[row] - 1 - inner)) & 1
     raw = np.packbits(bits).tobytes()
     return [raw[i : i + m].replace(b"\xff", b"\xff\x00") for i, m in zip(begin.tolist(), size_bytes.tolist(), strict=True)]
 

@@ -53,7 +53,7 @@ def test_segments_of_random_sparse_blocks():
     assert entropy.encode_segments(one, np.array(component), np.array(blocks)) == [model.packed(text)]
     parts = np.arange(len(blocks)) // 5
     alone = [entropy.encode_segments(parts[parts == p], np.array(component)[parts == p], np.array(blocks)[parts == p])[0] for p in range(6)]
-    assert entropy.encode_segments(parts, np.array(component), np.array(blocks)) == alone
+    assert entropy.encode_segments(parts, np.array(component), np.array(blocks)) == alone == entropy.encode_segments(parts, np.array(component), np.array(blocks), step=7)
     assert entropy.encode_segments(one[:0], one[:0], np.zeros((0, 64), int)) == []
     with pytest.raises(ValueError):
         entropy.encode_segments(np.array([0]), np.array([0]), np.array([[0, 5000] + [0] * 62]))
