@@ -23,7 +23,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textops import LOWER
+from .textops import LOWER, frugal
 
 # Fixed values of the base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -119,6 +119,7 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
 SCANNED = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_linked", pa.int64())])
 
 
+@frugal
 def _scan(it: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     for batch in it:
         rows = []
@@ -135,6 +136,7 @@ def scan(docs: DataFrame, reach: int = 300, doc_id: str = "doc_id", text: str =
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(partial(_scan, reach=reach), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_linked bigint")
 
 
+@frugal
 def _redact(it: Iterator[pa.RecordBatch], at: int, reach: int) -> Iterator[pa.RecordBatch]:
     for batch in it:
         out = []

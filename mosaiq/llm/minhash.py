@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .store import materialize, partitions
 from .substring_index import row_key
-from .textops import LOWER, Poly, buffers, mix, seeds, slice_rows, slices, word_bounds
+from .textops import LOWER, Poly, buffers, frugal, mix, seeds, slice_rows, slices, word_bounds
 
 LAST = (1 << 63) - 1
 _W, _S = Poly(21), Poly(22)
@@ -61,6 +61,7 @@ def _digest(own: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if len(own) else None
 
 
+@frugal
 def _sketch(it: Iterator[pa.RecordBatch], width: int, side: int, rows: int, m: int) -> Iterator[pa.RecordBatch]:
     factor, addend = seeds(m, 31), seeds(m, 32)
     for batch in it:
@@ -89,6 +90,7 @@ def _sketch(it: Iterator[pa.RecordBatch], width: int, side: int, rows: int, m: i
             )
 
 
+@frugal
 def _sets(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in it:
         data, offsets = buffers(batch.column(1))
@@ -124,6 +126,7 @@ def _forest(agree: np.ndarray, least: int) -> set[tuple[int, int]]:
     return out
 
 
+@frugal
 def _candidates(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a < b, agreements) of near nodes in the parts of a partition sorted by part."""
     held = None

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .prefix import running
 from .store import materialize
-from .textops import buffers, slice_rows, slices
+from .textops import buffers, hold, slice_rows, slices
 
 CAPACITY = 2048
 WORDS_HELD = 1_000_000  # about 250 MB for each worker; beyond it a worker starts afresh
@@ -144,11 +144,14 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+hold(_encoder.cache_clear)
+
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def _pieces(it: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    encoder = _encoder(path)
+    encoder = _encoder(path)  # kept for the worker's next tasks of this operator
     for batch in it:
         data, offsets = buffers(batch.column(1))
         doc_ids = batch.column(0)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import materialize
-from .textops import Poly, buffers, slice_rows, slices, window_starts, word_bounds
+from .textops import Poly, buffers, frugal, slice_rows, slices, window_starts, word_bounds
 
 SCALE = 10_000
 ONE = 4096
@@ -107,6 +107,7 @@ def _list(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
 
 
+@frugal
 def _measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         data, offsets = buffers(batch.column(1))
@@ -244,6 +245,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, doc_id:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "raw")
 
 
+@frugal
 def _accept(it: Iterator[pa.RecordBatch], at: int, fourier: Fourier, knots: np.ndarray, values: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in it:
         data, offsets = buffers(batch.column(at))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import blocks
 from .store import partitions
 from .substring_index import row_key
-from .textops import Poly, buffers, mix, slice_rows, slices
+from .textops import Poly, buffers, frugal, mix, slice_rows, slices
 
 ANCHOR, CONTEXT, HIT = 0, 1, 2
 SHARD_SYMBOLS = 1 << 21
@@ -89,6 +89,7 @@ def _twice(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return many, order[starts] if len(starts) else np.zeros(0, np.int64)
 
 
+@frugal
 def _anchors(it: Iterator[pa.RecordBatch], length: int, gram: int, n: int, flush: int) -> Iterator[pa.RecordBatch]:
     """ANCHOR blocks: each distinct anchor once, with where it is if it was seen once; HIT blocks of those seen twice."""
     held, size = [], 0
@@ -163,6 +164,7 @@ def _regroup_ranges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(d[s]), pa.array(t[s].astype(np.int64)), pa.array([pairs[a:b].tobytes() for a, b in zip(s, e, strict=True)], pa.binary())], names=["key_id", "key_tag", "positions"])
 
 
+@frugal
 def _contexts(it: Iterator[pa.RecordBatch], length: int, gram: int, n: int, flush: int) -> Iterator[pa.RecordBatch]:
     """CONTEXT blocks of the stretches below repeated anchors; HIT blocks of those the task has seen twice."""
     held, texts, size = [], [], 0
@@ -307,6 +309,7 @@ def repeats(joined: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndar
     return which[a], long[a] - begin[which[a]], long[b] - begin[which[a]]
 
 
+@frugal
 def _indexed(it: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa.RecordBatch]:
     """A shard: distinct contexts by anchor, in indexes of a bounded size; HIT blocks of repeats in undecided contexts."""
     shards: dict[int, list[bytes]] = {}
@@ -357,6 +360,7 @@ def _indexed(it: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa.R
 CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
+@frugal
 def _cut(it: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for at in range(0, len(batch), 1000):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import blocks
 from .store import materialize, partitions
-from .textops import Poly, buffers, coverage, slice_rows, slices, window_starts, word_bounds
+from .textops import Poly, buffers, coverage, frugal, slice_rows, slices, window_starts, word_bounds
 
 WINDOWS, RUN, HIT = 0, 1, 2
 LAST = (1 << 63) - 1
@@ -57,6 +57,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return key, check, rows, at - first[:-1][rows]
 
 
+@frugal
 def _emit(it: Iterator[pa.RecordBatch], width: int, n: int, flush: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
@@ -96,6 +97,7 @@ def _emit(it: Iterator[pa.RecordBatch], width: int, n: int, flush: int) -> Itera
         yield from out()
 
 
+@frugal
 def _merge_join(it: Iterator[pa.RecordBatch], n: int, compact: bool) -> Iterator[pa.RecordBatch]:
     """One partition: the batch's windows against the runs of the same bucket."""
     runs: dict[int, list[bytes]] = {}
@@ -158,6 +160,7 @@ class WindowIndex:
         return found.where(F.col("kind") == HIT)
 
 
+@frugal
 def _cut(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     for batch in it:
