@@ -18,6 +18,10 @@ minhashes. A pair of similarity s is missed with a probability of at most
    (likely ancestors), and a spanning forest of the nearest. So pairs are linear in the rows, whatever the size of a group.
 4. Pairs are verified on full shingle sets, each node's nearest partner first, twice;
    of the others only those whose ends are still in different components.
+5. Groups of more than ``part`` nodes that still hold several components are joined
+   block by block, each block with every other, so that all pairs of such a group meet;
+   near ones across components that were not verified yet are verified likewise. This
+   is quadratic in the nodes outside of a group's largest component, and only there.
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
 a text with fewer words than a shingle is one shingle; a null id comes after all
@@ -173,6 +177,48 @@ def _candidates(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pairs(*held)
 
 
+@frugal
+def _across_blocks(it: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """All pairs (a < b, agreements) of near nodes with different labels in the parts of a partition sorted by part: across the two sides of a part, or within its only side."""
+    held = None
+
+    def pairs(part: np.ndarray, node: np.ndarray, label: np.ndarray, side: np.ndarray, size: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
+        a, b, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+            cut = s + int(np.searchsorted(side[s:e], 1))
+            within = cut in (s, e)
+            x, y = (slice(s, e), slice(s, e)) if within else (slice(s, cut), slice(cut, e))
+            meet = label[x][:, None] != label[y][None, :]
+            meet &= 100 * np.minimum(size[x][:, None], size[y][None, :]) >= percent * np.maximum(size[x][:, None], size[y][None, :])
+            if within:
+                meet = np.triu(meet, 1)
+            i, j = np.nonzero(meet)
+            for lo in range(0, len(i), 1 << 14):
+                u, v = x.start + i[lo : lo + (1 << 14)], y.start + j[lo : lo + (1 << 14)]
+                agree = (sig[u] == sig[v]).sum(axis=1)
+                keep = agree >= least
+                a.append(node[u[keep]])
+                b.append(node[v[keep]])
+                n.append(agree[keep])
+        a, b, n = np.concatenate(a), np.concatenate(b), np.concatenate(n)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n.astype(np.int32))], names=["a", "b", "agree"])
+
+    for batch in it:
+        if not len(batch):
+            continue
+        rows = [batch.column(k).to_numpy() for k in range(5)]
+        rows.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(batch), -1))
+        if held:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))  # the last part may go on
+        held = [x[cut:] for x in rows]
+        if cut:
+            yield pairs(*[x[:cut] for x in rows])
+    if held:
+        yield pairs(*held)
+
+
 def agreements(m: int, threshold: float, error: float = 1e-6) -> int:
     """The most agreements required of ``m`` minhashes that a pair at the threshold fails with less than ``error``."""
     from math import comb
@@ -213,6 +259,47 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return df.where(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select(pairs.columns)
 
 
+def _linked(base: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, width: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Verified links, added to ``links``, and the components' labels; of ``pairs`` none stays unverified whose ends are in different components."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    owners = nodes.join(ends, "node", "left_semi").select(F.col("first").alias("owner")).distinct()
+    texts = base.join(owners, F.coalesce("doc_id", F.lit(LAST)) == F.col("owner"), "left_semi")
+    sets = materialize(texts.select("doc_id", "text").mapInArrow(partial(_sets, width=width), "node bigint, shingles array<bigint>").join(ends, "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
+    labels, left = None, pairs
+    for last in (False, False, True):
+        if labels is not None:
+            left = materialize(_across(left, labels), "minhash-left")
+        chosen = left.select("a", "b") if last else _nearest(left)
+        found = materialize(_verified(chosen, sets, percent), "minhash-links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+    return links, labels
+
+
+def _blocks(grouped: DataFrame, labels: DataFrame, part: int) -> DataFrame:
+    """(part, side, node, label) so that any two nodes of a table group with different labels meet in a part.
+
+    A group's largest component and its other nodes are dealt to blocks of about half a
+    part; every block of the others meets every block, blocks of the largest component
+    do not meet each other. Groups of one component are left out.
+    """
+    one = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    named = grouped.join(one, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("_label", "node").alias("label"))
+    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    count = lambda n: F.ceil(n / (part / 2)).cast("int")
+    split = most.select("key", F.col("top.label").alias("top"), count(F.col("n") - F.col("top.n")).alias("others"), count(F.col("top.n")).alias("tops"))
+    rows = named.join(split, "key").withColumn("major", F.col("label") == F.col("top"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.when(F.col("major"), F.col("tops")).otherwise(F.col("others"))).cast("int"))
+    own, none = F.col("own"), F.lit(1)
+    place = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+    firsts = F.sequence(F.lit(0), F.col("others") - 1)
+    with_top = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda j: place(own, -1 - j, F.lit(0)))
+    with_others = F.transform(firsts, lambda j: place(F.least(own, j), F.greatest(own, j), own > j))
+    places = F.when(F.col("major"), F.transform(firsts, lambda j: place(j, -1 - own, none))).otherwise(F.concat(with_top, with_others))
+    return rows.select("key", "node", "label", F.explode(places).alias("p")).select(F.xxhash64("key", "p.x", "p.y").alias("part"), F.col("p.side").alias("side"), "node", "label")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: int = 8, rows: int = 2, signature: int = 128, part: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: doc_id, n_shingles, component_id (the smallest id linked to it, over any chain), label (its group), key_tag."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text)[1].alias("key_tag"))
@@ -240,19 +327,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: in
     sized = near.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     pairs = materialize(sized.select("a", "b", "agree"), "minhash-pairs")
 
-    # 3. verification on the sets of the nodes that have a pair left
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    owners = nodes.join(ends, "node", "left_semi").select(F.col("first").alias("owner")).distinct()
-    texts = base.join(owners, F.coalesce("doc_id", F.lit(LAST)) == F.col("owner"), "left_semi")
-    sets = materialize(texts.select("doc_id", "text").mapInArrow(partial(_sets, width=width), "node bigint, shingles array<bigint>").join(ends, "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
-    links, labels, left = None, None, pairs
-    for last in (False, False, True):
-        if labels is not None:
-            left = materialize(_across(left, labels), "minhash-left")
-        chosen = left.select("a", "b") if last else _nearest(left)
-        found = materialize(_verified(chosen, sets, percent), "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+    # 3. verification on full sets
+    links, labels = _linked(base, nodes, pairs, percent, width)
+
+    # 4. large groups of several components, block by block
+    blocks = _blocks(grouped.where(F.col("n") > part), labels, part).join(nodes.select("node", "n_shingles", "sig"), "node")
+    dealt = blocks.select("part", "node", "label", "side", "n_shingles", "sig").repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "side", "node")
+    met = dealt.mapInArrow(partial(_across_blocks, least=least, percent=percent), "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    rest = materialize(met.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "minhash-rest")
+    if not rest.isEmpty():
+        _, labels = _linked(base, nodes, rest, percent, width, links)
 
     whole = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     smallest = whole.groupBy("label").agg(F.min("first").alias("component_id"))

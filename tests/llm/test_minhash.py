@@ -64,6 +64,26 @@ def test_large_family(spark):
     assert got(m.near_duplicates(df, part=32)) == brute(rows)
 
 
+def test_large_family_below_the_threshold(spark):
+    """A template shared by all, at a similarity below the threshold, and pairs of true copies within the family."""
+    rnd = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(150):
+        w = list(base)
+        spots = rnd.sample(range(2, 398, 5), 10)
+        for at in spots[:5]:
+            w[at] = f"x{k}"
+        rows.append((2 * k, " ".join(w)))
+        for at in spots[5:]:
+            w[at] = f"y{k}"
+        rows.append((2 * k + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len({r[2] for r in want}) > 100
+    assert got(m.near_duplicates(df, part=8)) == want
+
+
 def test_set_of_few_words_and_case(spark):
     rows = [(1, "A b"), (2, "a  B"), (3, "a b c"), (4, "É x"), (5, "é x"), (6, "a b c d e"), (7, "a b c d e a b c d e")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
