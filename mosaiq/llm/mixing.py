@@ -8,7 +8,8 @@ target's word.
 Curriculum: each source has a weight at each knot of training time, linear between
 knots. Its integral is the source's cumulative token demand; the share of its words
 taken before a document, inverted through that integral, is the document's position
-in training. Documents are range-sorted by position.
+in training. Each pass over a source has its own share of the demand, so a document
+has one position for each copy. Documents are range-sorted by their first position.
 
 Running sums over a hot source are dealt to pieces (see ``prefix``); only the
 totals of sources, one row each, come to the driver.
@@ -97,8 +98,15 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
     rest = goal - passes * F.col("source_size")
     extra = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("_before")))
-    share = F.when(goal > 0, F.least(F.lit(1.0), F.col("_before") / goal)).otherwise(0.0)
-    return df.select("doc_id", "text_hash", "source", "size", "source_size", "target", (passes * F.col("size") + extra).alias("taken"), inverse(share, F.col("_weights"), F.col("_demand")).alias("position"), passes.alias("passes"))
+    df = df.select("doc_id", "text_hash", "source", "size", "source_size", "target", (passes * F.col("size") + extra).alias("taken"), passes.alias("passes"), goal.alias("_goal"), (extra > 0).cast("int").alias("_last"), "_before", "_weights", "_demand")
+
+    def at(k: Column) -> Column:
+        share = F.when(F.col("_goal") > 0, F.least(F.lit(1.0), (k * F.col("source_size") + F.col("_before")) / F.col("_goal"))).otherwise(0.0)
+        return inverse(share, F.col("_weights"), F.col("_demand"))
+
+    # one position for each pass that takes words of the document, one at least
+    positions = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1).cast("long"), F.col("passes") + F.col("_last")) - 1), at)
+    return df.withColumn("positions", positions).select("doc_id", "text_hash", "source", "size", "source_size", "target", "taken", F.col("positions")[0].alias("position"), "passes", "positions")
 
 
 def ordered(planned: DataFrame) -> DataFrame:
@@ -110,14 +118,16 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """The documents as the mix takes them: each as often as it is taken, rounded, in order of position."""
     planned = plan(docs, doc_id=doc_id, text=text, source=source, **options)
     keys = ["doc_id", "text_hash", "source"]
-    copies = planned.where("size > 0").select(*keys, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"), "position")
-    copies = copies.where("copies > 0").groupBy(*keys).agg(F.sum("copies").alias("copies"), F.min("position").alias("position"), F.count(F.lit(1)).alias("rows"))
+    copies = planned.where("size > 0").select(*keys, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"), "positions")
+    # a row's copies are its first passes; rounded up, the partial pass is the last of them
+    copies = copies.where("copies > 0").groupBy(*keys).agg(F.sum("copies").alias("copies"), F.flatten(F.collect_list(F.slice("positions", 1, F.col("copies")))).alias("positions"), F.count(F.lit(1)).alias("rows"))
+    copies = copies.withColumn("positions", F.sort_array("positions"))
     held = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("h"), F.col(source).cast("string").alias("s"))
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")) & F.col("s").eqNullSafe(F.col("source"))
     once = held.join(copies, same, "inner")
-    # repeated rows share their copies evenly
+    # repeated rows share their copies evenly, each over all of training
     times = F.greatest(F.lit(1), F.floor(F.col("copies") / F.col("rows"))).cast("int")
-    out = once.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    out = once.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).withColumn("position", F.col("positions")[(F.col("copy") - 1) * F.col("rows").cast("int")])
     # positions lie evenly in [0, 1], up to the weights' range: equal steps need no sampling of texts
     n = partitions(docs.sparkSession)
     step = F.least(F.lit(n - 1), F.floor(F.col("position") * n)).cast("int")
@@ -126,5 +136,5 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
 def op10(spark, sf_dir: str) -> DataFrame:
     planned = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return ordered(planned).select("doc_id", "size", "source_size", "target", "taken", "source", "position", "passes")
+    return ordered(planned).select("doc_id", "size", "source_size", "target", "taken", "source", "position", "passes", "positions")
 

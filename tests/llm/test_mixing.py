@@ -70,3 +70,16 @@ def test_mixed_takes_effect(spark, edge_docs, no_docs):
     assert all(times[i] == int(p.taken / p.size + 0.5) for i, p in planned.items())
     assert m.mixed(edge_docs).columns == edge_docs.columns and m.mixed(edge_docs).count() > 0
     assert m.mixed(no_docs).collect() == []
+
+
+def test_each_pass_has_its_positions(spark):
+    """A source taken three times follows its demand over all of training, its copies apart."""
+    rows = [(i, f"w{i}", "a") for i in range(400)] + [(1000 + i, "w " * 20, "b") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = [r for r in m.plan(df, weights=(3, 1)).collect() if r.source == "a"]
+    assert all(r.passes == 3 and r.taken == 3 * r.size for r in planned)
+    found = [p for r in planned for p in r.positions]
+    assert len(found) == 1200 and all(r.position == r.positions[0] for r in planned)
+    assert abs(sum(p < 0.5 for p in found) / 1200 - m.demand((0.5, 1.0, 1.5))[1]) < 0.01
+    out = [r.doc_id for r in m.mixed(df, weights=(3, 1)).collect() if r.doc_id < 1000]
+    assert len(out) == 1200 and all(len(set(out[k : k + 400])) == 400 for k in (0, 400, 800))
