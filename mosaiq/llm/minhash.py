@@ -15,13 +15,16 @@ minhashes. A pair of similarity s is missed with a probability of at most
 3. In a part, nodes whose signatures are too far apart to be links are ruled out (an
    error of about 1e-6 at the threshold). Of the rest a part of few nodes keeps all
    pairs, a larger one each node's nearest, its partners with the most near nodes
-   (likely ancestors), and a spanning forest of the nearest. So pairs are linear in the rows, whatever the size of a group.
+   (likely ancestors), and a spanning forest of the nearest. So pairs are linear in the rows here, whatever the size of a group.
 4. Pairs are verified on full shingle sets, each node's nearest partner first, twice;
    of the others only those whose ends are still in different components.
-5. Groups of more than ``part`` nodes that still hold several components are joined
-   block by block, each block with every other, so that all pairs of such a group meet;
-   near ones across components that were not verified yet are verified likewise. This
-   is quadratic in the nodes outside of a group's largest component, and only there.
+5. The partners kept so far only save work. Groups that still hold several components
+   are joined block by block, each block with every other, so that all pairs of such a
+   group meet; all near ones across components that were not verified yet are verified
+   likewise, without a cap. At the end every pair that meets in a table and is not
+   ruled out by step 3 is verified or within one component, so a pair is missed with
+   the probability above, plus that error. The step is quadratic in the nodes outside
+   of a group's largest component, and only there.
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
 a text with fewer words than a shingle is one shingle; a null id comes after all
@@ -330,8 +333,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: in
     # 3. verification on full sets
     links, labels = _linked(base, nodes, pairs, percent, width)
 
-    # 4. large groups of several components, block by block
-    blocks = _blocks(grouped.where(F.col("n") > part), labels, part).join(nodes.select("node", "n_shingles", "sig"), "node")
+    # 4. groups of several components, block by block
+    blocks = _blocks(grouped, labels, part).join(nodes.select("node", "n_shingles", "sig"), "node")
     dealt = blocks.select("part", "node", "label", "side", "n_shingles", "sig").repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "side", "node")
     met = dealt.mapInArrow(partial(_across_blocks, least=least, percent=percent), "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
     rest = materialize(met.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "minhash-rest")

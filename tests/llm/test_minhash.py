@@ -84,6 +84,17 @@ def test_large_family_below_the_threshold(spark):
     assert got(m.near_duplicates(df, part=8)) == want
 
 
+def test_partners_only_save_work(spark, monkeypatch):
+    """A link that no node keeps as a partner is found all the same."""
+    rnd = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(f"x{k}" if i == 2 * k else w for i, w in enumerate(base))) for k in rnd.sample(range(60), 30)]
+    want = brute(rows)
+    assert len({r[2] for r in want}) < 30
+    monkeypatch.setattr(m, "_candidates", lambda it, least: iter(()))
+    assert got(m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
 def test_set_of_few_words_and_case(spark):
     rows = [(1, "A b"), (2, "a  B"), (3, "a b c"), (4, "É x"), (5, "é x"), (6, "a b c d e"), (7, "a b c d e a b c d e")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
