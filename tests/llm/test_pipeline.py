@@ -87,3 +87,13 @@ def test_deduplicated_edges(spark, edge_docs, edge_rows, no_docs):
     assert minhash.deduplicated(no_docs).collect() == []
     assert credentials.redacted(no_docs, n_chars="n_chars").collect() == []
     assert quality_model.accepted(no_docs, spark.createDataFrame([], "doc_id long, quality int")).collect() == []
+
+
+def test_near_copies_from_four_fifths(spark):
+    """A pair between 0.80 and 0.85 is one document for the stage, one below stays two."""
+    base = [f"w{k}" for k in range(104)]
+    near, far = ([f"x{k}" if k in spots else x for k, x in enumerate(base)] for spots in ((20, 60), (10, 30, 50, 70)))
+    rows = [(0, " ".join(base)), (1, " ".join(near)), (2, " ".join(far))]
+    assert [len(brute(rows, q, groups=True)) for q in (80, 85)] == [2, 3]
+    out = p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [0, 2]
