@@ -4,7 +4,7 @@ Tensoring: instead of one collection of minhashes for each table, two small side
 of ``side`` collections with ``rows`` minhashes each are drawn, and a table's key
 joins one collection of either side. side * side tables thus cost 2 * side * rows
 minhashes. A pair of similarity s is missed with a probability of at most
-2 * (1 - s^rows)^side: 7e-5 at 0.85 for 8 and 2, far less above.
+2 * (1 - s^rows)^side: 6e-4 at 0.8 and 7e-5 at 0.85 for 8 and 2, far less above.
 
 1. One pass over the texts makes, for each document, a digest of its shingle set,
    the collections and a signature. Documents with equal sets are one node.
@@ -19,12 +19,14 @@ minhashes. A pair of similarity s is missed with a probability of at most
 4. Pairs are verified on full shingle sets, each node's nearest partner first, twice;
    of the others only those whose ends are still in different components.
 5. The partners kept so far only save work. Groups that still hold several components
-   are joined block by block, each block with every other, so that all pairs of such a
-   group meet; all near ones across components that were not verified yet are verified
-   likewise, without a cap. At the end every pair that meets in a table and is not
-   ruled out by step 3 is verified or within one component, so a pair is missed with
-   the probability above, plus that error. The step is quadratic in the nodes outside
-   of a group's largest component, and only there.
+   are joined block by block, each block with every other, so that all nodes of such a
+   group meet; a pair is judged in the first table it shares. A part with few near pairs
+   across components passes them on to be verified like the others. A part with many
+   gets the full sets of the nodes concerned instead, verifies all its pairs itself
+   (common elements by bits), and passes on only links that join two components. So rows
+   stay linear in the nodes of a part, no pair is left out, and a pair is missed with
+   the probability above, plus the error of step 3. The work, not the rows, is
+   quadratic in the nodes outside of a group's largest component, and only there.
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
 a text with fewer words than a shingle is one shingle; a null id comes after all
@@ -35,11 +37,13 @@ result; other columns are kept where documents are filtered and ignored otherwis
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
@@ -180,46 +184,122 @@ def _candidates(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pairs(*held)
 
 
-@frugal
-def _across_blocks(it: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs (a < b, agreements) of near nodes with different labels in the parts of a partition sorted by part: across the two sides of a part, or within its only side."""
+def _held_parts(it: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """The columns of each part, whole, of a partition sorted by part (the first column)."""
     held = None
-
-    def pairs(part: np.ndarray, node: np.ndarray, label: np.ndarray, side: np.ndarray, size: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
-        starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
-        a, b, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
-            cut = s + int(np.searchsorted(side[s:e], 1))
-            within = cut in (s, e)
-            x, y = (slice(s, e), slice(s, e)) if within else (slice(s, cut), slice(cut, e))
-            meet = label[x][:, None] != label[y][None, :]
-            meet &= 100 * np.minimum(size[x][:, None], size[y][None, :]) >= percent * np.maximum(size[x][:, None], size[y][None, :])
-            if within:
-                meet = np.triu(meet, 1)
-            i, j = np.nonzero(meet)
-            for lo in range(0, len(i), 1 << 14):
-                u, v = x.start + i[lo : lo + (1 << 14)], y.start + j[lo : lo + (1 << 14)]
-                agree = (sig[u] == sig[v]).sum(axis=1)
-                keep = agree >= least
-                a.append(node[u[keep]])
-                b.append(node[v[keep]])
-                n.append(agree[keep])
-        a, b, n = np.concatenate(a), np.concatenate(b), np.concatenate(n)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n.astype(np.int32))], names=["a", "b", "agree"])
-
     for batch in it:
         if not len(batch):
             continue
-        rows = [batch.column(k).to_numpy() for k in range(5)]
-        rows.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(batch), -1))
+        rows = columns(batch)
         if held:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))  # the last part may go on
-        held = [x[cut:] for x in rows]
-        if cut:
-            yield pairs(*[x[:cut] for x in rows])
+        starts = np.concatenate(([0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, [len(rows[0])])).tolist()
+        for s, e in pairwise(starts[:-1]):
+            yield [x[s:e] for x in rows]
+        held = [x[starts[-2] :] for x in rows]  # the last part may go on
     if held:
-        yield pairs(*held)
+        yield held
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _sketched(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """part, node, label, side, table, n_shingles, then signatures and keys as matrices."""
+    n = len(batch)
+    return [*(batch.column(k).to_numpy() for k in range(6)), np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(n, -1), _matrix(batch.column(7), n)]
+
+
+def _meetings(label: np.ndarray, side: np.ndarray, table: int, size: np.ndarray, sig: np.ndarray, keys: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i, j) of one part, and their agreements: near, of different labels, across the two sides (or within the only one), and with no table before this one in common."""
+    cut = int(np.searchsorted(side, 1))
+    within = cut in (0, len(side))
+    x, y = (slice(0, len(side)),) * 2 if within else (slice(0, cut), slice(cut, len(side)))
+    m = keys.shape[1] // 2
+    before = [*range(table // m), *range(m, m + table % m)]  # collections that both have only in a table before this
+    out = [(np.empty(0, np.int64),) * 3]
+    for lo in range(x.start, x.stop, 256):
+        u = slice(lo, min(lo + 256, x.stop))
+        meet = label[u, None] != label[None, y]
+        meet &= 100 * np.minimum(size[u, None], size[None, y]) >= percent * np.maximum(size[u, None], size[None, y])
+        for k in before:
+            meet &= keys[u, None, k] != keys[None, y, k]
+        i, j = np.nonzero(meet)
+        i, j = i + lo, j + y.start
+        if within:
+            i, j = i[i < j], j[i < j]
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            agree = (sig[a] == sig[b]).sum(axis=1)
+            keep = agree >= least
+            out.append((a[keep], b[keep], agree[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+@frugal
+def _across_blocks(it: Iterator[pa.RecordBatch], least: int, percent: int, sparse: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b, agreements) of near nodes with different labels in a part; of a part with more than ``sparse`` for each row only the nodes in such pairs: (part, node, -1 - side - 2 * table)."""
+    for part, node, label, side, table, size, sig, keys in _held_parts(it, _sketched):
+        i, j, agree = _meetings(label, side, int(table[0]), size, sig, keys, least, percent)
+        if len(i) <= sparse * len(part):
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        else:
+            k = np.unique(np.concatenate((i, j)))
+            a, b, agree = part[k], node[k], -1 - side[k] - 2 * table[k]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
+
+
+def common(sets: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray, columns: int = 1 << 16) -> np.ndarray:
+    """Sizes of the intersections of sets i and j: bits of the elements that several sets hold, ``columns`` of them at a time."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    _, at, times = np.unique(sets, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    keep = times[at] > 1
+    row, at = row[keep], shared[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros(len(i), np.int64)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        s, e = np.searchsorted(at, (lo, lo + columns))
+        width = -(-(int(at[e - 1]) - lo + 1) // 64)
+        bits = np.zeros((len(offsets) - 1, width), np.uint64)
+        np.bitwise_or.at(bits, (row[s:e], (at[s:e] - lo) >> 6), np.uint64(1) << ((at[s:e] - lo) & 63).astype(np.uint64))
+        step = max(1, (1 << 20) // width)
+        for k in range(0, len(i), step):
+            out[k : k + step] += np.bitwise_count(bits[i[k : k + step]] & bits[j[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+@frugal
+def _dense_links(it: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of parts with many near pairs: links (a, b), exact on full sets, that join their labels as far as all links of the part do."""
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        sets = np.empty(len(batch), object)
+        flat, ends = batch.column(8).flatten().to_numpy(zero_copy_only=False), np.cumsum(pa.compute.list_value_length(batch.column(8)).to_numpy())
+        sets[:] = np.split(flat, ends[:-1])
+        return [*_sketched(batch), sets]
+
+    for _, node, label, side, table, size, sig, keys, sets in _held_parts(it, columns):
+        i, j, _ = _meetings(label, side, int(table[0]), size, sig, keys, least, percent)
+        n = common(np.concatenate(list(sets)), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), i, j)
+        link = 100 * n >= percent * (size[i] + size[j] - n)
+        up: dict[int, int] = {}
+        found = []
+        for u, v in zip(i[link].tolist(), j[link].tolist(), strict=True):
+            ends = []
+            for x in (label[u], label[v]):
+                while (y := up.get(x, x)) != x:
+                    up[x] = up.get(y, y)
+                    x = y
+                ends.append(x)
+            if ends[0] != ends[1]:
+                up[max(ends)] = min(ends)
+                found.append((int(node[u]), int(node[v])))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
 
 def agreements(m: int, threshold: float, error: float = 1e-6) -> int:
@@ -246,11 +326,20 @@ def _nearest(pairs: DataFrame) -> DataFrame:
     return _pairs(twice.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("agree", "other")).other.alias("b")))
 
 
+HUB = 1000  # pairs of one node that one task verifies
+
+
+def _with_sets(pairs: DataFrame, end: str, sets: DataFrame, name: str) -> DataFrame:
+    """The full set of one end of each pair; a node of more than ``HUB`` pairs is copied to as many salts as its pairs need."""
+    heavy = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("_n")).where("_n > 1")
+    dealt = pairs.join(heavy, end, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), "_n").cast("int"), F.lit(0))).drop("_n")
+    copies = sets.join(heavy, sets.node == F.col(end), "left").select("node", F.col("shingles").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_at"))
+    return dealt.join(copies, (F.col(end) == F.col("node")) & (F.col("_salt") == F.col("_at"))).drop("node", "_salt", "_at")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * |intersection| >= percent * |union|, exactly."""
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").withColumn("n", F.size(F.array_intersect("x", "y")))
+    both = _with_sets(_with_sets(pairs.select("a", "b"), "b", sets, "y"), "a", sets, "x").withColumn("n", F.size(F.array_intersect("x", "y")))
     return both.where(100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
 
 
@@ -262,12 +351,16 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return df.where(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select(pairs.columns)
 
 
-def _linked(base: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, width: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Verified links, added to ``links``, and the components' labels; of ``pairs`` none stays unverified whose ends are in different components."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _full_sets(base: DataFrame, nodes: DataFrame, ends: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes in ``ends``, from the texts."""
     owners = nodes.join(ends, "node", "left_semi").select(F.col("first").alias("owner")).distinct()
     texts = base.join(owners, F.coalesce("doc_id", F.lit(LAST)) == F.col("owner"), "left_semi")
-    sets = materialize(texts.select("doc_id", "text").mapInArrow(partial(_sets, width=width), "node bigint, shingles array<bigint>").join(ends, "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
+    return materialize(texts.select("doc_id", "text").mapInArrow(partial(_sets, width=width), "node bigint, shingles array<bigint>").join(ends, "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
+
+
+def _linked(base: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, width: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Verified links, added to ``links``, and the components' labels; of ``pairs`` none stays unverified whose ends are in different components."""
+    sets = _full_sets(base, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), width)
     labels, left = None, pairs
     for last in (False, False, True):
         if labels is not None:
@@ -279,18 +372,18 @@ def _linked(base: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, w
     return links, labels
 
 
-def _blocks(grouped: DataFrame, labels: DataFrame, part: int) -> DataFrame:
-    """(part, side, node, label) so that any two nodes of a table group with different labels meet in a part.
+def _blocks(grouped: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """(part, side, table, node, label) so that any two nodes of a table group with different labels meet in a part.
 
-    A group's largest component and its other nodes are dealt to blocks of about half a
-    part; every block of the others meets every block, blocks of the largest component
+    A group's largest component and its other nodes are dealt to blocks of about ``block``
+    nodes; every block of the others meets every block, blocks of the largest component
     do not meet each other. Groups of one component are left out.
     """
     one = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-    named = grouped.join(one, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("_label", "node").alias("label"))
+    named = grouped.join(one, F.col("node") == F.col("_node"), "left").select("key", "table", "node", F.coalesce("_label", "node").alias("label"))
     sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-    count = lambda n: F.ceil(n / (part / 2)).cast("int")
+    count = lambda n: F.ceil(n / block).cast("int")
     split = most.select("key", F.col("top.label").alias("top"), count(F.col("n") - F.col("top.n")).alias("others"), count(F.col("top.n")).alias("tops"))
     rows = named.join(split, "key").withColumn("major", F.col("label") == F.col("top"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.when(F.col("major"), F.col("tops")).otherwise(F.col("others"))).cast("int"))
@@ -300,10 +393,10 @@ def _blocks(grouped: DataFrame, labels: DataFrame, part: int) -> DataFrame:
     with_top = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda j: place(own, -1 - j, F.lit(0)))
     with_others = F.transform(firsts, lambda j: place(F.least(own, j), F.greatest(own, j), own > j))
     places = F.when(F.col("major"), F.transform(firsts, lambda j: place(j, -1 - own, none))).otherwise(F.concat(with_top, with_others))
-    return rows.select("key", "node", "label", F.explode(places).alias("p")).select(F.xxhash64("key", "p.x", "p.y").alias("part"), F.col("p.side").alias("side"), "node", "label")
+    return rows.select("key", "table", "node", "label", F.explode(places).alias("p")).select(F.xxhash64("key", "p.x", "p.y").alias("part"), F.col("p.side").alias("side"), "table", "node", "label")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: int = 8, rows: int = 2, signature: int = 128, part: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, side: int = 8, rows: int = 2, signature: int = 128, part: int = 256, block: int = 512, sparse: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: doc_id, n_shingles, component_id (the smallest id linked to it, over any chain), label (its group), key_tag."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text)[1].alias("key_tag"))
     least = agreements(signature, percent / 100)
@@ -312,7 +405,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: in
 
     # 2. table groups of two or more, in parts
     one = nodes.select("node", F.posexplode(F.slice("keys", 1, side)).alias("i", "u"), F.slice("keys", side + 1, side).alias("vs"))
-    keyed = one.select("node", "i", "u", F.posexplode("vs").alias("j", "v")).select("node", F.xxhash64("i", "j", "u", "v").alias("key"))
+    keyed = one.select("node", "i", "u", F.posexplode("vs").alias("j", "v")).select("node", F.xxhash64("i", "j", "u", "v").alias("key"), (F.col("i") * side + F.col("j")).cast("int").alias("table"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     grouped = materialize(keyed.join(shared, "key"), "minhash-groups")
     popular = grouped.groupBy("node").agg(F.sum("n").alias("popularity"))
@@ -334,10 +427,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: in
     links, labels = _linked(base, nodes, pairs, percent, width)
 
     # 4. groups of several components, block by block
-    blocks = _blocks(grouped, labels, part).join(nodes.select("node", "n_shingles", "sig"), "node")
-    dealt = blocks.select("part", "node", "label", "side", "n_shingles", "sig").repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "side", "node")
-    met = dealt.mapInArrow(partial(_across_blocks, least=least, percent=percent), "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    rest = materialize(met.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "minhash-rest")
+    sketch = nodes.select("node", "n_shingles", "sig", "keys")
+    blocks = _blocks(grouped, labels, block).join(sketch, "node")
+    columns = ["part", "node", "label", "side", "table", "n_shingles", "sig", "keys"]
+    n = partitions(docs.sparkSession)
+    dealt = blocks.select(columns).repartition(n, "part").sortWithinPartitions("part", "side", "node")
+    met = materialize(dealt.mapInArrow(partial(_across_blocks, least=least, percent=percent, sparse=sparse), "a bigint, b bigint, agree int"), "minhash-met")
+    rest = met.where("agree >= 0").join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    dense = met.where("agree < 0").select(F.col("a").alias("part"), F.col("b").alias("node"), F.pmod(-1 - F.col("agree"), F.lit(2)).alias("side"), F.floor((-1 - F.col("agree")) / 2).cast("int").alias("table"))
+    if not dense.isEmpty():
+        sets = _full_sets(base, nodes, dense.select("node").distinct(), width)
+        known = labels.select("node", "label")
+        held = dense.join(sketch, "node").join(sets, "node").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        held = held.select(*columns, "shingles").repartition(n, "part").sortWithinPartitions("part", "side", "node")
+        links = links.unionByName(materialize(held.mapInArrow(partial(_dense_links, least=least, percent=percent), "a bigint, b bigint"), "minhash-links"))
+        labels = components(links)
+        rest = _across(rest, labels)
+    rest = materialize(rest, "minhash-rest")
     if not rest.isEmpty():
         _, labels = _linked(base, nodes, rest, percent, width, links)
 
@@ -364,5 +470,5 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

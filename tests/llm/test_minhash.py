@@ -45,7 +45,7 @@ def got(df):
 
 
 def test_against_brute_force(edge_docs, edge_rows, no_docs):
-    assert got(m.near_duplicates(edge_docs)) == brute(edge_rows)
+    assert got(m.near_duplicates(edge_docs, percent=85)) == brute(edge_rows)
     assert len({r[2] for r in brute(edge_rows)}) < len({r[0] for r in brute(edge_rows)}) - 10
     assert m.near_duplicates(no_docs).collect() == []
 
@@ -61,7 +61,7 @@ def test_large_family(spark):
             w[rnd.randrange(150)] = f"x{k}"
         rows.append((k, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(m.near_duplicates(df, part=32)) == brute(rows)
+    assert got(m.near_duplicates(df, percent=85, part=32)) == brute(rows)
 
 
 def test_large_family_below_the_threshold(spark):
@@ -81,7 +81,7 @@ def test_large_family_below_the_threshold(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert len({r[2] for r in want}) > 100
-    assert got(m.near_duplicates(df, part=8)) == want
+    assert got(m.near_duplicates(df, percent=85, part=8, block=16)) == want
 
 
 def test_partners_only_save_work(spark, monkeypatch):
@@ -92,13 +92,40 @@ def test_partners_only_save_work(spark, monkeypatch):
     want = brute(rows)
     assert len({r[2] for r in want}) < 30
     monkeypatch.setattr(m, "_candidates", lambda it, least: iter(()))
-    assert got(m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert got(m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85)) == want
+
+
+def test_dense_parts(spark):
+    """Parts with many near pairs verify these themselves, whatever the size of a part and of a block."""
+    rnd = random.Random(17)
+    base = [f"w{k}" for k in range(300)]
+    for percent, spots, block in ((80, 4, 512), (85, 3, 16)):
+        rows = []
+        for k in range(120):
+            w = list(base)
+            for at in rnd.sample(range(2, 298, 5), spots):
+                w[at] = f"x{k if rnd.random() < 0.5 else k // 4}"
+            rows.append((k, " ".join(w)))
+        want = brute(rows, percent)
+        assert 1 < len({r[2] for r in want}) < 115
+        assert got(m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, block=block, sparse=0)) == want
+
+
+def test_common_elements():
+    rnd = random.Random(2)
+    sets = [sorted({rnd.randrange(-300, 300) for _ in range(rnd.choice((0, 1, 40, 400)))}) for _ in range(30)]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    i, j = np.triu_indices(30, 1)
+    want = [len(set(sets[a]) & set(sets[b])) for a, b in zip(i, j, strict=True)]
+    flat = np.array([x for s in sets for x in s], np.int64)
+    for columns in (64, 100, 1 << 16):
+        assert m.common(flat, at, i, j, columns).tolist() == want
 
 
 def test_set_of_few_words_and_case(spark):
     rows = [(1, "A b"), (2, "a  B"), (3, "a b c"), (4, "É x"), (5, "é x"), (6, "a b c d e"), (7, "a b c d e a b c d e")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(m.near_duplicates(df)) == brute(rows)
+    assert got(m.near_duplicates(df, percent=85)) == brute(rows)
 
 
 def test_candidates_across_batches():
