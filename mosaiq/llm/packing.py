@@ -8,8 +8,8 @@ Packing needs only how many pieces there are of each length, a table of at most
 alternative for their largest piece, as often as the counts allow, and removes
 them, until nothing more is dominated; (2) packs the remaining lengths best-fit, the
 longest first, whole groups of equal sequences at a time. The result is a plan of
-intervals of ranks for each length; it grows with the number of lengths, not of
-documents. Pieces get their rank within a length by distributed running counts and
+intervals of ranks for each length; it grows with the number of lengths (at most 64
+rows for each, asserted), not of documents. Pieces get their rank within a length by distributed running counts and
 look their place up.
 
 Defined results: null and empty texts are one piece of the closing id alone;
@@ -208,12 +208,12 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[Group]
                     large = [k for k in reversed(fits) for _ in range(min(2, rest[k]))][:2]
                     if len(small) == 1 or sum(small[:2]) > r:
                         take = {j: 1, large[0]: 1} if large[0] != j else {j: 2}
-                        times = min(left[j], left[large[0]]) if large[0] != j else max(1, left[j] // 2)
+                        times = min(left[j], left[large[0]]) if large[0] != j else left[j] // 2
                     elif len(large) == 2 and sum(large) <= r and (len(small) < 3 or sum(small) > r):
                         take = {j: 1}
                         for k in large:
                             take[k] = take.get(k, 0) + 1
-                        times = 1 if j in large else min(left[k] // m for k, m in take.items())
+                        times = min(left[k] // m for k, m in take.items())  # what is left fits no better
                     else:
                         break
                 if times < 1:
@@ -269,6 +269,7 @@ def lay_out(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
             offset += m * size
         sequence += times
     assert next_rank == counts, "the plan places every piece once"
+    assert len(rows) <= 64 * (len(counts) + 1), "the plan grows with the lengths, not with the pieces"
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5), sequence
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -51,6 +52,17 @@ def test_large_counts_are_fast_and_tight():
     assert sequences <= bound * 1.01 + 1
 
 
+@pytest.mark.parametrize("counts", [{600: 10**9}, {600: 300_001}, {1: 10**9}, {2048: 10**9}, {700: 10**9, 600: 10**9 + 1, 90: 7}, dict.fromkeys(range(1, 2049), 10**9), {k: 10**9 + 7 * k % 13 for k in range(300, 1100)}])
+def test_plan_does_not_grow_with_the_pieces(counts):
+    begin = time.process_time()
+    table, sequences = p.lay_out(counts)
+    assert time.process_time() - begin < 3 and len(table) <= 64 * (len(counts) + 1)
+    assert sequences >= -(-sum(k * n for k, n in counts.items()) // 2048)
+    if len(counts) == 1:
+        ((k, n),) = counts.items()
+        assert sequences == -(-n // (2048 // k)) and len(table) <= 3
+
+
 def test_ids_equal_the_tokenizers_own(edge_rows):
     from tokenizers import Tokenizer
 
