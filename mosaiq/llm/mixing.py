@@ -16,7 +16,7 @@ totals of sources, one row each, come to the driver.
 
 Defined results: null and empty texts have size 0, take nothing and get position 0
 of their source's demand; a null source is a source of its own, ordered last;
-repeated rows are interchangeable; an empty table gives an empty result; other
+repeated rows are planned each, interchangeably; an empty table gives an empty result; other
 columns are kept where documents are mixed and ignored otherwise.
 """
 
@@ -115,19 +115,23 @@ def ordered(planned: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The documents as the mix takes them: each as often as it is taken, rounded, in order of position."""
+    """The documents as the mix takes them: each as often as it is taken, rounded, in order of position.
+
+    Rows that agree in id, text and source are one document: it comes as often as the
+    mix takes of all of them together, rounded once, each time as the same one of them.
+    """
     planned = plan(docs, doc_id=doc_id, text=text, source=source, **options)
     keys = ["doc_id", "text_hash", "source"]
-    copies = planned.where("size > 0").select(*keys, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("copies"), "positions")
-    # a row's copies are its first passes; rounded up, the partial pass is the last of them
-    copies = copies.where("copies > 0").groupBy(*keys).agg(F.sum("copies").alias("copies"), F.flatten(F.collect_list(F.slice("positions", 1, F.col("copies")))).alias("positions"), F.count(F.lit(1)).alias("rows"))
-    copies = copies.withColumn("positions", F.sort_array("positions"))
+    # all copies of a document take words in the order of their positions; rounded up, the last one is partial
+    each = planned.where("size > 0").groupBy(*keys).agg(F.floor(F.sum("taken") / F.first("size") + 0.5).cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    each = each.where("copies > 0").withColumn("positions", F.slice("positions", 1, F.col("copies")))
     held = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("h"), F.col(source).cast("string").alias("s"))
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")) & F.col("s").eqNullSafe(F.col("source"))
-    once = held.join(copies, same, "inner")
-    # repeated rows share their copies evenly, each over all of training
-    times = F.greatest(F.lit(1), F.floor(F.col("copies") / F.col("rows"))).cast("int")
-    out = once.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).withColumn("position", F.col("positions")[(F.col("copy") - 1) * F.col("rows").cast("int")])
+    once = held.join(each.where("rows = 1"), same, "inner").select("row", "d", "positions")
+    # of repeated rows one is chosen, in an aggregate that combines what a task sees first
+    again = held.join(each.where("rows > 1").select(*keys), same, "left_semi").groupBy("d", "h", "s").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    again = again.join(each.where("rows > 1"), same, "inner").select("row", "d", "positions")
+    out = once.unionByName(again).select("row", "d", F.posexplode("positions").alias("copy", "position"))
     # positions lie evenly in [0, 1], up to the weights' range: equal steps need no sampling of texts
     n = partitions(docs.sparkSession)
     step = F.least(F.lit(n - 1), F.floor(F.col("position") * n)).cast("int")

@@ -83,3 +83,20 @@ def test_each_pass_has_its_positions(spark):
     assert abs(sum(p < 0.5 for p in found) / 1200 - m.demand((0.5, 1.0, 1.5))[1]) < 0.01
     out = [r.doc_id for r in m.mixed(df, weights=(3, 1)).collect() if r.doc_id < 1000]
     assert len(out) == 1200 and all(len(set(out[k : k + 400])) == 400 for k in (0, 400, 800))
+
+
+def test_repeated_rows_are_taken_as_planned(spark):
+    """Rows that agree in id, text and source give as many copies as the mix takes of all of them, also fewer than rows."""
+    rows = [(1, "a b c", "a", k) for k in range(100)] + [(2 + k, "w x y z " * 10, "b", 0) for k in range(3)] + [(50, "q r s", "c", 0)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    for weights in ((1, 9, 1), (3, 1, 1), (1, 1, 30)):
+        planned = m.plan(df, weights=weights).collect()
+        out = m.mixed(df, weights=weights).collect()
+        for i, size in ((1, 3), (50, 3)):
+            taken = sum(r.taken for r in planned if r.doc_id == i)
+            found = [r for r in out if r.doc_id == i]
+            assert len(found) == int(taken / size + 0.5) and len({r.other for r in found}) <= 1
+        by_source = {s: sum(r.taken for r in planned if r.source == s) for s in "abc"}
+        for s, n in by_source.items():
+            got = sum(len(WORD.findall(r.text)) for r in out if r.source == s)
+            assert abs(got - n) <= 20 * len({r[0] for r in rows if r[2] == s})
