@@ -33,8 +33,9 @@ KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "weak_endpoint")
 
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-IDENT = re.compile(r"(?:(?:user(?:name)?|login|account|client_id|access_key(?:_id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}|(?<![A-Za-z0-9])[A-Z][A-Z0-9]{15,31}(?![A-Za-z0-9]))", re.ASCII)
-ENDPOINT = re.compile(r"(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|(?:endpoint|host|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}(?::\d{2,5})?)", re.ASCII)
+IDENT = re.compile(r"(?:(?i:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}|(?<![A-Za-z0-9])[A-Z][A-Z0-9]{15,31}(?![A-Za-z0-9]))", re.ASCII)
+ENDPOINT = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|(?i:endpoint|host(?:name)?|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}(?::\d{2,5})?)", re.ASCII)
+TURN = re.compile(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")
 SCOPE = re.compile(r"\n[\x20\t]*\n")
 
 _LOWER = bytes(LOWER.tolist())
@@ -58,39 +59,49 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 
 def _mixed(s: str) -> bool:
-    """Digits, small and capital letters, and many different ones: not a word, path or rule line."""
-    return len(set(s)) * 3 >= min(len(s), 40) and any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s)
+    """Letters and digits, many different ones, in both cases or in many turns: not a word, path or rule line."""
+    if len(set(s)) * 3 < min(len(s), 40) or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
+        return False
+    return (any(c.islower() for c in s) and any(c.isupper() for c in s)) or len(TURN.findall(s)) >= 4
+
+
+def _apart(spans: list[tuple[int, int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The spans (start, kind, end) that meet none of ``taken``, which is in order and may nest."""
+    begins, ends = [], []
+    for s, e in taken:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(s)
+            ends.append(e)
+    first = [bisect_right(ends, x[0]) for x in spans]
+    return [x for x, k in zip(spans, first, strict=True) if k == len(ends) or begins[k] >= x[2]]
 
 
 def linked_spans(text: str, strong: list[tuple[int, int, int]], short: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
     """Weak parts that have a complementary part within ``reach`` code points of their paragraph."""
     taken = [(s, e) for s, _, e in strong]
-
-    def free(s: int, e: int) -> bool:
-        i = bisect_left(taken, (s, e))
-        return not (i < len(taken) and taken[i][0] < e) and not (i and any(x[1] > s for x in taken[max(0, i - 3) : i]))
-
-    secrets = [x for x in short if free(x[0], x[2])]
-    secrets += [(m.start(), 4, m.end()) for m in LONG.finditer(text) if _mixed(m[0]) and free(m.start(), m.end())]
-    strong_ids = [x for x in strong if x[1] == 1]
+    spans = lambda kind, pattern, ok=lambda t: True, taken=taken: _apart([(m.start(), kind, m.end()) for m in pattern.finditer(text) if ok(m[0])], taken)
+    secrets = _apart(sorted(short), taken)
+    secrets += spans(4, LONG, _mixed, sorted([*taken, *((s, e) for s, _, e in secrets)]))
     if not secrets and not strong:
         return []
-    idents = [(m.start(), 3, m.end()) for m in IDENT.finditer(text) if free(m.start(), m.end()) and any(c.isdigit() or c in ":=" for c in m[0])]
-    ends = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text) if free(m.start(), m.end())]
     keys = sorted([*secrets, *(x for x in strong if x[1] != 1)])
-    if not keys or not (idents or ends or strong_ids):
+    # spans of one kind never overlap, so their ends are in order like their starts
+    kinds = [[x for x in strong if x[1] == 1], spans(3, IDENT, lambda t: any(c.isdigit() or c in ":=" for c in t)), spans(5, ENDPOINT)]
+    if not keys or not any(kinds):
         return []
     breaks = [m.start() for m in SCOPE.finditer(text)]
     out = set()
-    near = sorted([*idents, *strong_ids, *ends])
-    begins = [x[0] for x in near]
-    widest = max(x[2] - x[0] for x in near)
-    for s in keys:
-        scope = bisect_right(breaks, s[0])
-        lo, hi = s[0] - reach, s[2] + reach
-        for p in near[bisect_left(begins, lo - widest) : bisect_left(begins, hi)]:
-            if p[2] > lo and bisect_right(breaks, p[0]) == scope and (p[2] <= s[0] or p[0] >= s[2]):
-                out |= {x for x in (s, p) if x[1] > 2}
+    for near in kinds:
+        begins, ends = [x[0] for x in near], [x[2] for x in near]
+        scopes = [bisect_right(breaks, x) for x in begins]
+        for s in keys:
+            scope = bisect_right(breaks, s[0])
+            for k in range(bisect_right(ends, s[0] - reach), bisect_left(begins, s[2] + reach)):
+                p = near[k]
+                if scopes[k] == scope and (p[2] <= s[0] or p[0] >= s[2]):
+                    out |= {x for x in (s, p) if x[1] > 2}
     return sorted(out)
 
 
