@@ -44,26 +44,37 @@ AFTER = "CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3)
 LOW = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def canon(u: str) -> str:
-    """The canonical form of a URL expression."""
-    rest = f"regexp_replace({AFTER.format(u=f'coalesce({u}, chr(0))')}, '#.*$', '', 's')"
-    h = f"regexp_replace(regexp_replace({LOW.format(x=f'regexp_extract({rest}, $$^[^/?]*$$)')}, '^(?:www|m|mobile|amp)\\.([^.]+\\.)', '\\1'), ':(?:80|443)$', '')"
-    p = f"regexp_replace(regexp_extract({rest}, '^[^/?]*([^?]*)', 1), '(?:/index)?(?:\\.html?|\\.php)?/*$', '')"
-    q = f"regexp_replace(regexp_replace(regexp_extract({rest}, '\\?(.*)$', 1, 's'), '(?:^|&)(?:utm_[a-z]+|ref|fbclid|gclid|source)=[^&]*', '', 'g'), '^&|&$', '', 'g')"
-    return f"(CASE WHEN {h} = '' THEN NULL ELSE {h} || {p} || CASE WHEN {q} = '' THEN '' ELSE '?' || {q} END END)"
+def canon(rest: str) -> str:
+    """The form by which URLs are compared, from what follows their ://; dot segments do not occur in the tables."""
+    rest = f"regexp_replace({rest}, '#.*$', '', 's')"
+    h, p, q = LOW.format(x=f"regexp_extract({rest}, '^[^/?]*')"), f"regexp_extract({rest}, '^[^/?]*([^?]*)', 1)", f"regexp_extract({rest}, '^[^?]*\\?(.*)$', 1, 's')"
+    return f"(CASE WHEN {h} = '' THEN NULL ELSE {h} || CASE WHEN starts_with({p}, '/') THEN '' ELSE '/' END || {p} || CASE WHEN {q} = '' THEN '' ELSE '?' || {q} END END)"
+
+
+def tags(pattern: str, value: str) -> str:
+    """All targets that one kind of tag names, entities decoded."""
+    found = f"regexp_extract_all(coalesce(html, ''), '(?i){pattern}')"
+    return f"list_transform({found}, lambda t: trim(replace(regexp_extract(t, '(?i){value}=[\"'']?([^\"''\\s>]+)', 1), '&amp;', '&')))"
+
+
+TARGETS = "list_concat(list_concat(" + tags("<link\\b[^>]*\\brel=[^>]{0,2}canonical\\b[^>]*>", "href") + ", " + tags("<meta\\b[^>]*\\bproperty=[^>]?og:url\\b[^>]*>", "content") + "), " + tags("<meta\\b[^>]*\\bhttp-equiv=[^>]?refresh\\b[^>]*>", "url") + ")"
+#: What follows the :// of a target's resolved form.
+ABSOLUTE = r"""CASE WHEN t = '' OR starts_with(t, '#') THEN '' WHEN regexp_matches(t, '^([A-Za-z][A-Za-z0-9+.-]*:)?//') THEN regexp_replace(t, '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '') WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN ''
+  WHEN host = '' THEN '' WHEN starts_with(t, '?') THEN host || path || t WHEN starts_with(t, '/') THEN host || t ELSE host || '/' || ltrim(regexp_extract(path, '^(?:.*/)?'), '/') || t END"""
 
 
 OP2 = rf"""
-WITH RECURSIVE u AS (SELECT page_id, {LOW.format(x="regexp_extract(r, '^[^/?#]*')")} AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, {canon('url')} AS own, {canon("regexp_extract(regexp_extract(html, '(?i)<link[^>]*rel=.?canonical[^>]*>'), '(?i)href=.?([^\"''\\s>]+)', 1)")} AS canonical
+WITH RECURSIVE u AS (SELECT page_id, {LOW.format(x="regexp_extract(r, '^[^/?#]*')")} AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, {canon('r')} AS own, {TARGETS} AS targets
     FROM (SELECT *, {AFTER.format(u="coalesce(url, '')")} AS r FROM pages)),
+  w AS (SELECT page_id, {canon('x')} AS key FROM (SELECT page_id, {ABSOLUTE} AS x FROM (SELECT page_id, host, path, unnest(targets) AS t FROM u))),
   rl AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) v(action, h, p)),
   best AS (SELECT host, path, max_by(h || p, length(h) + length(p)) AS rule, max_by(action, length(h) + length(p)) AS action FROM (SELECT DISTINCT host, path FROM u) JOIN rl ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1, 2),
-  e AS (SELECT DISTINCT page_id, unnest([own, canonical]) AS key FROM u),
+  e AS (SELECT page_id, own AS key FROM u UNION SELECT page_id, key FROM w),
   f AS (SELECT page_id, key, min(page_id) OVER (PARTITION BY key) AS first FROM e WHERE key IS NOT NULL),
   l AS (SELECT DISTINCT page_id AS a, first AS b FROM f UNION SELECT first, page_id FROM f),
   reach(a, b) AS (SELECT page_id, page_id FROM u UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
   comp AS (SELECT a AS page_id, min(b) AS component FROM reach GROUP BY 1),
-  j AS (SELECT u.page_id, u.host, u.path, rule, action, CASE WHEN own IS NULL AND canonical IS NULL THEN NULL ELSE component END AS component FROM u LEFT JOIN best ON best.host = u.host AND best.path = u.path LEFT JOIN comp ON comp.page_id = u.page_id),
+  j AS (SELECT u.page_id, u.host, u.path, rule, action, CASE WHEN u.page_id IN (SELECT page_id FROM e WHERE key IS NOT NULL) THEN component END AS component FROM u LEFT JOIN best ON best.host = u.host AND best.path = u.path LEFT JOIN comp ON comp.page_id = u.page_id),
   s AS (SELECT component, bool_or(action = 'block') AS block, bool_or(action = 'allow') AS allow FROM j WHERE component IS NOT NULL GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN block AND NOT coalesce(allow, false) THEN 'block' ELSE 'allow' END) AS verdict, j.component FROM j LEFT JOIN s ON s.component = j.component
 """

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..shared import materialize, release, shared_dir
+from ..shared import materialize, release, shared_dir, write_table
 
-__all__ = ["materialize", "partitions", "release", "shared_dir"]
+__all__ = ["materialize", "partitions", "release", "shared_dir", "write_table"]
 
 
 def partitions(spark: SparkSession) -> int:

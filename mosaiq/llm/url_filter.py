@@ -2,9 +2,11 @@
 
 Rules name a host and a path prefix and fit the host and its subdomains; the longest
 fitting rule decides. URLs without a rule get the decision of their aliases: pages
-are joined by the canonical forms of their own URL and of the targets of canonical
-links, refresh redirects and og:url in their HTML; connected components over these
-edges carry a block to every alias, unless an alias is explicitly allowed.
+are joined to the targets of the canonical links, refresh redirects and og:url in their
+HTML, which are decoded and resolved against the page's own URL; connected components
+over these edges carry a block to every alias, unless an alias is explicitly allowed.
+URLs are compared without scheme and fragment, their dot segments resolved; no other
+two are taken for the same unless a page declares it.
 
 Rules are matched by joining the host's suffixes (as many as it has labels) to the
 rules' hosts, once for each distinct host and path, so neither side is broadcast
@@ -28,7 +30,8 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 AFTER = r"(?s)^.*?://(.*)$"
-TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid|source)"
+VALUES = ('"([^">]*)"', "'([^'>]*)'", r"""([^\s>"']+)""")  # of an attribute: in either quotes, or bare
+ENTITIES = ((r"&#(?:38|[xX]26);?|&amp;?", "&"), (r"&#(?:47|[xX]2[fF]);?", "/"), (r"&#(?:39|[xX]27);?|&apos;", "'"), (r"&#(?:34|[xX]22);?|&quot;?", '"'))
 
 
 def host_of(url: Column) -> Column:
@@ -41,24 +44,63 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def canonical(url: Column) -> Column:
-    """Scheme, fragment, mobile and www prefixes, tracking parameters, default file names and a last slash taken away; null for no URL."""
-    rest = F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), AFTER, 1), r"(?s)#.*$", "")
-    host = F.regexp_replace(F.translate(F.regexp_extract(rest, r"^[^/?]*", 0), UPPER, LOWER), r"^(?:www|m|mobile|amp)\.(?=[^.]+\.)|:(?:80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"(?:/index)?(?:\.html?|\.php)?/*$", "")
-    query = F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, r"(?s)\?(.*)$", 1), rf"(?:^|&){TRACKING}=[^&]*", ""), r"^&|&$", "")
-    return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+def _absolute(host: Column, path: Column, query: Column) -> Column:
+    """One form of a URL: lower-case host, dot segments resolved, an empty path as ``/``, the query kept; null without a host."""
+    segments = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    # a path that ends in a dot segment names a folder
+    path = F.concat(F.array_join(segments, "/"), F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise(""))
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    return F.when(host != "", F.concat(F.translate(host, UPPER, LOWER), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
 
+def _split(rest: Column) -> tuple[Column, Column, Column]:
+    """Host, path and query of what follows ``://``."""
+    rest = F.regexp_replace(rest, r"(?s)#.*$", "")
+    return F.regexp_extract(rest, r"^[^/?]*", 0), F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), F.regexp_extract(rest, r"(?s)^[^?]*\?(.*)$", 1)
 
-def links(html: Column) -> list[Column]:
-    """Targets of the HTML's canonical link, refresh redirect and og:url; empty where there is none."""
+
+def canonical(url: Column) -> Column:
+    """The form by which URLs are compared: no scheme, no fragment; null for no URL. Nothing else is taken to be the same."""
+    return _absolute(*_split(F.regexp_extract(F.coalesce(url, F.lit("")), AFTER, 1)))
+
+
+def decoded(text: Column) -> Column:
+    """The entities that URLs in attributes are written with."""
+    for pattern, plain in ENTITIES:
+        text = F.regexp_replace(text, pattern, plain)
+    return F.trim(text)
+
+
+def resolved(target: Column, host: Column, path: Column) -> Column:
+    """The canonical form of a target as written on the page of that host and path: absolute, or relative to scheme, host, path or query."""
+    h, p, q = _split(F.regexp_replace(target, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", ""))
+    own = F.regexp_replace(target, r"(?s)#.*$", "")
+    query, before = F.regexp_extract(own, r"(?s)^[^?]*\?(.*)$", 1), F.regexp_extract(own, r"^[^?]*", 0)
+    folder = F.regexp_extract(path, r"^(?:.*/)?", 0)
+    return (
+        F.when(target.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), _absolute(h, p, q))
+        .when((own == "") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))  # the page itself, or no place
+        .when(target.startswith("?"), _absolute(host, path, query))
+        .when(target.startswith("/"), _absolute(host, before, query))
+        .otherwise(_absolute(host, F.concat(folder, before), query))
+    )
+
+
+def links(html: Column) -> Column:
+    """Targets of all of the HTML's canonical links, refresh redirects and og:url, decoded."""
     text = F.coalesce(html, F.lit(""))
-    tag = lambda has, value: F.regexp_extract(F.regexp_extract(text, has, 0), value, 1)
-    return [
-        tag(r"""(?i)<link\b[^>]*\brel=["']?canonical\b[^>]*>""", r"""(?i)\bhref=["']?([^"'\s>]+)"""),
-        tag(r"""(?i)<meta\b[^>]*\bhttp-equiv=["']?refresh\b[^>]*>""", r"""(?i)\burl=\s*["']?([^"'\s>]+)"""),
-        tag(r"""(?i)<meta\b[^>]*\bproperty=["']?og:url\b[^>]*>""", r"""(?i)\bcontent=["']?([^"'\s>]+)"""),
-    ]
+    value = lambda tag, name: decoded(F.concat(*[F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*{v}", 1) for v in VALUES]))
+    tags = lambda pattern, target: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), target)
+    refresh = lambda t: F.regexp_replace(F.regexp_extract(value(t, "content"), r"(?i)\burl\s*=\s*(.*)$", 1), r"""^["']|["']$""", "")
+    return F.concat(
+        tags(r"""(?i)<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>""", lambda t: value(t, "href")),
+        tags(r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", refresh),
+        tags(r"""(?i)<meta\b[^>]*\bproperty\s*=\s*["']?og:url\b[^>]*>""", lambda t: value(t, "content")),
+    )
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -78,7 +120,7 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def aliases(pages: DataFrame) -> DataFrame:
     """(page_id, component): pages joined by shared canonical forms; component is the smallest page_id."""
-    keys = F.array_compact(F.array(F.col("own"), *[canonical(F.col(f"link{k}")) for k in range(3)]))
+    keys = F.array_compact(F.concat(F.array("own"), "targets"))
     edges = pages.select("page_id", F.explode(F.array_distinct(keys)).alias("key")).where("page_id IS NOT NULL")
     edges = materialize(edges.distinct(), "alias-edges")
     first = edges.groupBy("key").agg(F.min("page_id").alias("a"))
@@ -87,9 +129,9 @@ def aliases(pages: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, component."""
-    u, found = F.col(url), links(F.col(html))
-    base = pages.select(F.col(page_id).cast("long").alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("own"), *[c.alias(f"link{k}") for k, c in enumerate(found)])
-    base = materialize(base, "urls")
+    u = F.col(url)
+    base = pages.select(F.col(page_id).cast("long").alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), canonical(u).alias("own"), links(F.col(html)).alias("targets"))
+    base = materialize(base.withColumn("targets", F.transform("targets", lambda t: resolved(t, F.col("host"), F.col("path")))), "urls")
     ruled = base.join(matched(base, rules), ["host", "path"], "left")
     ruled = materialize(ruled.join(aliases(base), "page_id", "left").select("page_id", "host", "path", "rule", "action", "component"), "ruled")
     says = ruled.where("component IS NOT NULL AND action IS NOT NULL").groupBy("component").agg(F.bool_or(F.col("action") == "block").alias("block"), F.bool_or(F.col("action") == "allow").alias("allow"))

@@ -23,7 +23,7 @@ PAGES = [
     page(1, "https://a.example.com/en/1"),  # blocked
     page(2, "http://www.a.example.com/en/1/?utm_source=x#top"),  # ruled itself
     page(3, "https://other.org/x", "https://a.example.com/en/1"),  # alias of a blocked page
-    page(4, "https://third.org/y", "http://m.other.org/x.html?ref=q"),  # alias of an alias
+    page(4, "https://third.org/y", "http://OTHER.org/x#top"),  # alias of an alias
     page(5, "https://b.example.com/en/7"),  # allowed explicitly
     page(6, "https://free.org/z", "https://b.example.com/en/7"),
     page(7, "https://mixed.org/z", "https://b.example.com/en/9"),
@@ -66,6 +66,32 @@ def test_rules_hosts_and_aliases(spark):
     assert by[11].rule == "example.net/de/8" and by[12].verdict == "allow" and by[13].rule == "com/en/"
 
 
+def test_targets_are_resolved_and_decoded(spark):
+    blocked = "https://a.example.com/en/1?x=1&y=2"
+    near = [
+        ("https://r.org/1", '<link rel="alternate canonical" href="//a.example.com/en/1?x=1&amp;y=2">'),
+        ("https://r.org/2", "<meta http-equiv='refresh' content='0;URL=&quot;https:&#47;&#47;a.example.com/en/1?x=1&#38;y=2&quot;'>"),
+        ("https://r.org/3", '<link rel=canonical href=/1><meta property="og:url" content="https://other.org/">'),
+        ("https://r.org/d/e/4", '<meta property="og:url" content="../.././d/../3#top">'),
+        ("https://r.org/d/5", '<p>x</p><LINK REL = "canonical" HREF = "e/4">'),
+        ("https://r.org/6?q", '<link rel="canonical" href="https://no.org/"><link href="1" rel="canonical">'),
+        ("https://s.org/p?z=1", '<link rel="canonical" href="?z=2">'),
+        ("https://s.org/p?z=2", '<link rel="canonical" href="https://R.org/1">'),
+    ]
+    apart = [
+        ("https://t.org/?source=1", None),
+        ("https://t.org/?source=2", '<link rel="canonical" href="https://r.org/1">'),
+        ("https://www.r.org/1", None),
+        ("https://r.org/1/", '<link rel="canonical" href="#x">'),
+        ("https://r.org/1.html", '<link rel="canonical" href="mailto:x@r.org/1">'),
+        (None, '<link rel="canonical" href="/1">'),
+    ]
+    rows = [(0, blocked, None)] + [(k + 1, *p) for k, p in enumerate(near)] + [(100 + k, *p) for k, p in enumerate(apart)]
+    out = {r.page_id: r for r in u.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), u.rule_table(spark)).collect()}
+    assert {out[k].component for k in range(9)} == {0} and all(out[k].verdict == "block" for k in range(9))
+    assert out[101].component == 0 and all(out[100 + k].component != 0 and out[100 + k].verdict == "allow" for k in (0, 2, 3, 4, 5))
+
+
 def test_longest_rule_and_ties(spark):
     rules = [("allow", "b.c", "/xy"), ("block", "a.b.c", "/x"), ("allow", "c", "/"), ("block", "c", "/xyz/ab")]
     df = spark.createDataFrame([(1, "s://a.b.c/xyq", None), (2, "s://a.b.c/xyz/abc", None), (3, "s://c/", None), (4, "s://c", None)], "page_id long, url string, html string")
