@@ -3,7 +3,8 @@
 The reader verifies each page's checksum and sequence number, reassembles packets
 from lacing values (also across pages), separates the logical streams by serial
 number, and derives each packet's time from granule positions. A broken file gives
-a row with its error and what was readable before it; it never stops the job.
+a row with its error and what was read before the break, up to the first gap in time;
+no file stops the job. Streams of other codecs are demultiplexed and timed, not decoded.
 
 The writer stores 8-bit samples in an own mapping: a header packet for each logical
 stream, then data packets dealt to the streams in turn. A page's granule position
@@ -21,6 +22,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -32,6 +34,7 @@ RATE = 8000
 STREAMS = 2
 MAGIC = b"PCM8"
 HEADER = struct.Struct("<4sBBqIIIB")
+SETUP = struct.Struct("<4sBBBxII")  # of the first packet: magic, version, streams, this one's place, rate, packet size
 CONTINUED, FIRST, LAST = 1, 2, 4
 
 _REVERSE = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -79,40 +82,47 @@ def write(payload: bytes, packet: int = PACKET, rate: int = RATE, streams: int =
     parts = [payload[i : i + packet] for i in range(0, len(payload), packet)]
     out = []
     for s in range(streams):
-        head = struct.pack("<4sBBBxII", MAGIC, 1, streams, s, rate, packet)
+        head = SETUP.pack(MAGIC, 1, streams, s, rate, packet)
         own = [(head, 0)] + [(p, k * packet + len(p)) for k, p in enumerate(parts) if k % streams == s]
         out += [(t, 0 if i == 0 else 1, s, i, page) for i, (t, page) in enumerate(_pages(own, (serial + s) & 0xFFFFFFFF))]
     out.sort(key=lambda x: (x[1], x[0], x[2], x[3]))
     return b"".join(x[4] for x in out)
 
 
-class Broken(ValueError):
-    """A rule of the container is violated."""
+@dataclass
+class Stream:
+    """One logical stream: its packets, each with the granule position of its page if it is the last one that ends there."""
 
+    serial: int
+    packets: list[tuple[bytes, int | None]] = field(default_factory=list)
+    open: bytearray | None = None
+    pages: int = 0
+    ended: bool = False
 
-def read(media: bytes) -> tuple[bytes, dict]:
-    """The payload in time order, and what the container says."""
-    found: dict[int, dict] = {}
+
+def demultiplex(media: bytes) -> tuple[dict[int, Stream], int, str | None]:
+    """The logical streams by serial number, the number of good pages, and what stopped the walk, if anything did."""
+    streams: dict[int, Stream] = {}
     at, pages = 0, 0
     while at < len(media):
         if len(media) - at < HEADER.size:
-            raise Broken("truncated page header")
+            return streams, pages, "truncated page header"
         magic, version, flags, granule, serial, seq, crc, n = HEADER.unpack_from(media, at)
         if magic != b"OggS" or version:
-            raise Broken("no capture pattern")
+            return streams, pages, "no capture pattern"
         lacing = media[at + HEADER.size : at + HEADER.size + n]
         end = at + HEADER.size + n + sum(lacing)
         if len(lacing) < n or end > len(media):
-            raise Broken("truncated page")
+            return streams, pages, "truncated page"
         if checksum(media[at : at + 22] + b"\0\0\0\0" + media[at + 26 : end]) != crc:
-            raise Broken("page checksum")
-        s = found.setdefault(serial, {"seq": 0, "open": None, "packets": [], "ended": False})
-        if s["seq"] != seq or s["ended"] or bool(flags & FIRST) != (seq == 0):
-            raise Broken("page order")
-        if bool(flags & CONTINUED) != (s["open"] is not None):
-            raise Broken("packet continuation")
-        body, complete = at + HEADER.size + n, []
-        held = s["open"]
+            return streams, pages, "page checksum"
+        s = streams.get(serial) or Stream(serial)
+        if s.pages != seq or s.ended or bool(flags & FIRST) != (seq == 0):
+            return streams, pages, "page order"
+        if bool(flags & CONTINUED) != (s.open is not None):
+            return streams, pages, "packet continuation"
+        streams[serial] = s
+        body, complete, held = at + HEADER.size + n, [], s.open
         for v in lacing:
             held = bytearray() if held is None else held
             held += media[body : body + v]
@@ -120,31 +130,94 @@ def read(media: bytes) -> tuple[bytes, dict]:
             if v < 255:
                 complete.append(bytes(held))
                 held = None
-        s["open"], s["seq"], s["ended"] = held, seq + 1, bool(flags & LAST)
         if (granule == -1) != (not complete):
-            raise Broken("granule position")
-        if seq == 0:
-            if len(complete) != 1 or complete[0][:4] != MAGIC:
-                raise Broken("stream header")
-            _, _, streams, _, rate, packet = struct.unpack("<4sBBBxII", complete[0])
-            s |= {"rate": rate, "stride": (streams - 1) * packet}
-        else:
-            stop, timed = granule, []
-            for p in reversed(complete):  # from the page's last packet back
-                timed.append((stop - len(p), p))
-                stop -= len(p) + s["stride"]
-            s["packets"] += reversed(timed)
+            return streams, pages, "granule position"
+        s.packets += [(p, granule if k == len(complete) - 1 else None) for k, p in enumerate(complete)]
+        s.open, s.pages, s.ended = held, seq + 1, bool(flags & LAST)
         at, pages = end, pages + 1
-    if any(s["open"] is not None or not s["ended"] for s in found.values()):
-        raise Broken("stream without end")
-    timed = sorted((p for s in found.values() for p in s["packets"]), key=lambda p: p[0])
-    at = 0
+    if any(s.open is not None or not s.ended for s in streams.values()):
+        return streams, pages, "stream without end"
+    return streams, pages, None if pages else "empty"
+
+
+def samples(streams: dict[int, Stream]) -> tuple[bytes, int, int, str | None]:
+    """Of this writer's streams: the payload in time order up to the first gap, its packets, its rate, and what is wrong."""
+    timed, rate, wrong = [], RATE, None
+    for s in streams.values():
+        first = s.packets[0][0] if s.packets else b""
+        if len(first) != SETUP.size or first[:4] != MAGIC:
+            wrong = wrong or "stream header"
+            continue
+        _, version, count, place, own_rate, packet = SETUP.unpack(first)
+        if version != 1 or not own_rate or not packet or place >= count:
+            wrong = wrong or "stream header"
+            continue
+        rate, stride, page = own_rate, (count - 1) * packet, []
+        for p, granule in s.packets[1:]:
+            page.append(p)
+            if granule is not None:  # times from the page's last packet back
+                stop = granule
+                for q in reversed(page):
+                    timed.append((stop - len(q), q))
+                    stop -= len(q) + stride
+                page = []
+    timed.sort(key=lambda x: x[0])
+    at, kept = 0, []
     for start, p in timed:
         if start != at:
-            raise Broken("gap in time")
+            return b"".join(kept), len(kept), rate, wrong or "gap in time"
+        kept.append(p)
         at += len(p)
-    rate = next((s["rate"] for s in found.values()), RATE)
-    return b"".join(p for _, p in timed), {"streams": len(found), "pages": pages, "packets": len(timed), "samples": at, "rate": rate, "duration_us": at * 1_000_000 // rate}
+    return b"".join(kept), len(kept), rate, wrong
+
+
+# How the first packet of a public codec's stream begins, and where its clock stands.
+CODECS = {b"\x01vorbis": "vorbis", b"OpusHead": "opus", b"\x7fFLAC": "flac", b"Speex   ": "speex", b"\x80theora": "theora"}
+
+
+def codec(first: bytes) -> tuple[str, float, int]:
+    """Name, granules a second (0 if unknown) and granules before the start, from the first packet of a stream."""
+    name = next((v for k, v in CODECS.items() if first.startswith(k)), "unknown")
+    number = lambda at, n, order="little": int.from_bytes(first[at : at + n], order)
+    if name == "vorbis":
+        return name, number(12, 4), 0
+    if name == "opus":
+        return name, 48_000, number(10, 2)
+    if name == "flac":
+        return name, number(27, 3, "big") >> 4, 0
+    if name == "speex":
+        return name, number(36, 4), 0
+    if name == "theora" and number(26, 4, "big"):
+        return name, number(22, 4, "big") / number(26, 4, "big"), 0
+    return name, 0, 0
+
+
+def duration_us(s: Stream) -> int:
+    """When the stream ends, from its last granule position; 0 where its clock is not known."""
+    first = s.packets[0][0] if s.packets else b""
+    name, rate, skip = codec(first)
+    last = next((g for _, g in reversed(s.packets) if g is not None), 0)
+    if name == "theora" and len(first) >= 42:
+        shift = int.from_bytes(first[40:42], "big") >> 5 & 31
+        last = (last >> shift) + (last & (1 << shift) - 1)
+    return max(0, int((last - skip) * 1_000_000 // rate)) if rate else 0
+
+
+class Broken(ValueError):
+    """A rule of the container is violated."""
+
+
+def read(media: bytes) -> tuple[bytes, dict]:
+    """The payload in time order, and what the container says; of a broken file neither."""
+    streams, pages, error = demultiplex(media)
+    payload, packets, rate, wrong = samples(streams)
+    if error or wrong:
+        raise Broken(error or wrong)
+    return payload, said(streams, pages, packets, len(payload), rate)
+
+
+def said(streams: dict[int, Stream], pages: int, packets: int, n: int, rate: int) -> dict:
+    return {"streams": len(streams), "pages": pages, "packets": packets, "samples": n, "rate": rate, "duration_us": n * 1_000_000 // rate}
 
 
 def _batches(cols: list[list], schema: pa.Schema) -> pa.RecordBatch:
@@ -177,20 +250,24 @@ DECODED = pa.schema(
 
 
 def describe(media: bytes | None, tail: int = 64) -> tuple:
-    """The DECODED values of one file; of a broken or null one only its error."""
+    """The DECODED values of one file. Of a broken one they show what was read before the break; of other codecs' streams only the container."""
     media = media or b""
     sha = hashlib.sha256(media).hexdigest()
-    try:
-        if not media:
-            raise Broken("empty")
-        payload, info = read(media)
-    except Broken as e:
-        return None, None, None, len(media), sha, None, str(e)
+    streams, pages, error = demultiplex(media)
+    own = not streams or any(s.packets and s.packets[0][0].startswith(MAGIC) for s in streams.values())
+    if not own:
+        names = ",".join(sorted(codec(s.packets[0][0] if s.packets else b"")[0] for s in streams.values()))
+        feature = f"streams={len(streams)} pages={pages} packets={sum(len(s.packets) for s in streams.values())} codecs={names} duration_us={max(map(duration_us, streams.values()))}"
+        return None, None, None, len(media), sha, feature, error
+    payload, packets, rate, wrong = samples(streams)
+    error = error or wrong
+    if error and not packets:
+        return None, None, None, len(media), sha, None, error
     x = np.frombuffer(payload, np.uint8)
-    said = " ".join(f"{k}={v}" for k, v in info.items())
+    feature = " ".join(f"{k}={v}" for k, v in said(streams, pages, packets, len(payload), rate).items())
     if len(x):
-        said += f" mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)} peak={int(x.max())} zero={int((x == 0).sum())} turns={int((np.diff((x & 128) > 0)).sum())}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), len(media), sha, said, None
+        feature += f" mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)} peak={int(x.max())} zero={int((x == 0).sum())} turns={int((np.diff((x & 128) > 0)).sum())}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), len(media), sha, feature, error
 
 
 def _decode(it: Iterator[pa.RecordBatch], keep: list[str], tail: int) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,62 @@ def test_missing_page_is_found():
     assert ogg.describe(media[:second] + media[third:])[-1] in ("page order", "packet continuation")
 
 
+def page_bounds(media):
+    at = [k for k in range(len(media)) if media[k : k + 4] == b"OggS"]
+    return list(zip(at, at[1:] + [len(media)], strict=True))
+
+
+def sealed(page):
+    return page[:22] + ogg.checksum(page[:22] + bytes(4) + page[26:]).to_bytes(4, "little") + page[26:]
+
+
+def test_no_page_with_a_good_checksum_stops_the_reader():
+    """Bytes of pages are changed, dropped and repeated, and the checksums made right again."""
+    rnd = random.Random(4)
+    media = ogg.write(bytes(k % 251 for k in range(40_000)), 700, streams=2)
+    pages = [media[a:b] for a, b in page_bounds(media)]
+    errors = set()
+    for _ in range(1500):
+        out = [bytearray(p) for p in pages]
+        for _ in range(rnd.randint(1, 3)):
+            p = rnd.choice(out[:4])
+            p[rnd.choice([5, 6, 13, 14, 18, 26, 27, rnd.randrange(len(p))])] = rnd.choice([0, 1, 255, rnd.randrange(256)])
+        if rnd.random() < 0.2:
+            out[rnd.randrange(4)] = bytearray(rnd.choice(pages))
+        n, sha, _, _, _, feature, error = ogg.describe(b"".join(sealed(bytes(p)) for p in out))
+        errors.add(error)
+        assert (sha is None) == (n is None) and (n is None or feature.startswith("streams="))
+    assert {None, "page order", "stream header", "gap in time", "packet continuation"} <= errors
+
+
+@pytest.mark.parametrize("rate,packet,head", [(0, 6000, None), (8000, 0, None), (8000, 6000, b"PCM8"), (8000, 6000, b"")])
+def test_odd_headers(rate, packet, head):
+    head = ogg.SETUP.pack(b"PCM8", 1, 1, 0, rate, packet) if head is None else head
+    media = b"".join(page for _, page in ogg._pages([(head, 0), (b"abc", 3)], 7))
+    assert ogg.describe(media)[-1] == ("stream header" if head else None)
+
+
+def test_what_was_read_before_the_break_is_kept():
+    x = random.Random(9).randbytes(400_000)
+    media = bytearray(ogg.write(x))
+    bounds = page_bounds(media)
+    bounds = [b for b in bounds if b[0] < 200_000]
+    media[bounds[-1][0] + 60] ^= 1
+    n, sha, _, _, _, feature, error = ogg.describe(bytes(media))
+    assert error == "page checksum" and 0 < n < len(x) and sha == hashlib.sha256(x[:n]).hexdigest() and f"samples={n}" in feature
+
+
+def test_streams_of_other_codecs_are_timed():
+    vorbis = b"\x01vorbis" + bytes(5) + (44_100).to_bytes(4, "little") + bytes(14)
+    opus = b"OpusHead\x01\x02" + (312).to_bytes(2, "little") + bytes(7)
+    theora = b"\x80theora" + bytes(15) + (25).to_bytes(4, "big") + (1).to_bytes(4, "big") + bytes(10) + (6 << 5).to_bytes(2, "big")
+    for head, end, name, us in ((vorbis, 44_100 * 3, "vorbis", 3_000_000), (opus, 48_312, "opus", 1_000_000), (theora, 2 << 6 | 48, "theora", 2_000_000), (b"what", 5, "unknown", 0)):
+        media = b"".join(page for _, page in ogg._pages([(head, 0), (b"x" * 70_000, end)], 3))
+        assert ogg.describe(media)[5:] == (f"streams=1 pages={media.count(b'OggS')} packets=2 codecs={name} duration_us={us}", None)
+    two = b"".join(page for _, page in ogg._pages([(vorbis, 0), (b"x", 44_100)], 3)) + b"".join(page for _, page in ogg._pages([(opus, 0), (b"y", 312)], 4))
+    assert "streams=2" in ogg.describe(two)[5] and "codecs=opus,vorbis duration_us=1000000" in ogg.describe(two)[5]
+
+
 def test_table(edge_docs, edge_rows, no_docs):
     out = ogg.media_features(ogg.encode_texts(edge_docs), ["doc_id", "n_bytes"]).collect()
     expected = []
