@@ -396,7 +396,7 @@ def _blocks(grouped: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     return rows.select("key", "table", "node", "label", F.explode(places).alias("p")).select(F.xxhash64("key", "p.x", "p.y").alias("part"), F.col("p.side").alias("side"), "table", "node", "label")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, side: int = 8, rows: int = 2, signature: int = 128, part: int = 256, block: int = 512, sparse: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, side: int = 8, rows: int = 2, signature: int = 128, part: int = 256, block: int = 512, sparse: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: doc_id, n_shingles, component_id (the smallest id linked to it, over any chain), label (its group), key_tag."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text)[1].alias("key_tag"))
     least = agreements(signature, percent / 100)
