@@ -37,16 +37,21 @@ def write_table(df: DataFrame, path: str) -> None:
         spark.conf.set(CLEANUP, before)
 
 
+def write_shared(df: DataFrame, name: str) -> str:
+    """Write ``df`` to the shared folder; returns the table's path, which ``release`` deletes."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    write_table(df, path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage with a table that survives the loss of any executor.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    write_table(df, path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
 def release(spark: SparkSession) -> int:
