@@ -5,9 +5,11 @@ space, the sorted distinct fingerprints of all windows of the batches it covers.
 A new batch is hashed, dealt to the buckets once, and there merge-joined with the
 runs: a window is a repeat if its sequence is in a run (documents of earlier
 batches precede those of later ones) or starts in a document of the same batch
-with a smaller id. The same pass writes the batch's own run. When ``fanout`` runs
-are live, that pass merges them into the new one, so compaction costs no exchange
-of its own.
+with a smaller id. The same pass writes the batch's own run. When ``fanout`` runs of one
+size tier are live, that pass merges them into the new one, which is of the next tier,
+so compaction costs no exchange of its own and a window is rewritten as often as there
+are tiers. The index keeps the highest id it holds and refuses a batch with one not
+above it; a manifest names its runs, so that a later session can go on with it.
 
 A fingerprint joins a bucket number and 40 bits of one hash with 24 bits of a
 second hash with its own word values and base; the first is the key of the merge
@@ -21,19 +23,21 @@ after all others; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from functools import partial
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import blocks
-from .store import materialize, partitions
+from .store import buckets, write_shared, write_table
 from .textops import Poly, buffers, coverage, frugal, slice_rows, slices, window_starts, word_bounds
 
-WINDOWS, RUN, HIT = 0, 1, 2
+WINDOWS, RUN, HIT, OLD = 0, 1, 2, 3  # OLD: a run that is matched, not merged
 LAST = (1 << 63) - 1
 
 _A, _B, _WA, _WB = Poly(1), Poly(2), Poly(3), Poly(4)
@@ -98,20 +102,20 @@ def _emit(it: Iterator[pa.RecordBatch], width: int, n: int, flush: int) -> Itera
 
 
 @frugal
-def _merge_join(it: Iterator[pa.RecordBatch], n: int, compact: bool) -> Iterator[pa.RecordBatch]:
-    """One partition: the batch's windows against the runs of the same bucket."""
-    runs: dict[int, list[bytes]] = {}
-    new: dict[int, list[bytes]] = {}
+def _merge_join(it: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """One partition: the batch's windows against the runs of the same bucket; a new run of them and the runs to merge."""
+    held: dict[int, dict[int, list[bytes]]] = {RUN: {}, OLD: {}, WINDOWS: {}}
     for batch in it:
-        kinds, buckets = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        kinds, buckets_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         yield batch.filter(pa.array(kinds == HIT))  # decided before
-        for i, (k, b) in enumerate(zip(kinds.tolist(), buckets.tolist(), strict=True)):
+        for i, (k, b) in enumerate(zip(kinds.tolist(), buckets_.tolist(), strict=True)):
             if k != HIT:
-                (runs if k == RUN else new).setdefault(b, []).append(batch.column(2)[i].as_py())
-    for b in sorted(set(runs) | set(new)):
-        old = [blocks.expand(x) for x in runs.pop(b, [])]
+                held[k].setdefault(b, []).append(batch.column(2)[i].as_py())
+    for b in sorted(set().union(*held.values())):
+        merge = [blocks.expand(x) for x in held[RUN].pop(b, [])]
+        old = merge + [blocks.expand(x) for x in held[OLD].pop(b, [])]
         keys, docs, tags, poss = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for blob in new.pop(b, []):
+        for blob in held[WINDOWS].pop(b, []):
             d, t, c, k1, k0, c1, c0, p = blocks.unpack(blob)
             c = c.astype(np.int64)
             key = (k1.astype(np.uint64) << np.uint64(32)) | k0
@@ -134,30 +138,63 @@ def _merge_join(it: Iterator[pa.RecordBatch], n: int, compact: bool) -> Iterator
             hit = order[repeat]
             if len(hit):
                 yield from blocks.rows(blocks.locate(doc[hit], np.concatenate(tags)[hit], np.concatenate(poss)[hit], n, HIT))
-        if compact and old:
-            distinct = np.unique(np.concatenate([distinct, *old]))
+        if merge:
+            distinct = np.unique(np.concatenate([distinct, *merge]))
         if len(distinct):
             yield from blocks.rows([(RUN, b, blocks.squeeze(distinct))])
 
 
 class WindowIndex:
-    """The log-structured index: its live runs, oldest first, in ``n`` buckets."""
+    """The log-structured index: its live runs, oldest first, as (tier, path), in ``n`` buckets.
 
-    def __init__(self, n: int, width: int = 13, fanout: int = 2, flush: int = 1_000_000):
-        self.n, self.width, self.fanout, self.flush = n, width, fanout, flush
-        self.runs: list[DataFrame] = []
+    Runs go to ``folder``, which must be one that all executors share, or else to the
+    session's shared folder, where they stay until the session's tables are released.
+    """
+
+    def __init__(self, n: int, width: int = 13, fanout: int = 2, flush: int = 1_000_000, folder: str | None = None):
+        self.n, self.width, self.fanout, self.flush, self.folder = n, width, fanout, flush, folder
+        self.runs: list[tuple[int, str]] = []
+        self.last: int | None = None  # the highest id
 
     def append(self, batch: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """Match a batch against all runs and itself, add its run; returns the repeats' positions in packed blocks."""
+        """Match a batch against all runs and itself, add its run; returns the repeats' positions in packed blocks.
+
+        All ids must be above those of earlier batches (null counts as the highest), as
+        what is found here is decided for good.
+        """
+        spark = batch.sparkSession
         key_id, key_tag = row_key(doc_id, text)
+        low, high = batch.agg(F.min(key_id), F.max(key_id)).first()
+        if low is not None and self.last is not None and low <= self.last:
+            raise ValueError(f"id {low} comes after {self.last}")
         dealt = batch.select(key_id.alias("i"), key_tag.alias("t"), F.col(text).alias("x")).mapInArrow(partial(_emit, width=self.width, n=self.n, flush=self.flush), blocks.SCHEMA)
-        for run in self.runs:
-            dealt = dealt.unionByName(run)
-        compact = len(self.runs) >= self.fanout
-        found = materialize(dealt.repartitionById(self.n, F.col("bucket")).mapInArrow(partial(_merge_join, n=self.n, compact=compact), blocks.SCHEMA), "window-run")
-        run = found.where(F.col("kind") == RUN)
-        self.runs = [run] if compact else [*self.runs, run]
-        return found.where(F.col("kind") == HIT)
+        tier = 0
+        while sum(t == tier for t, _ in self.runs) >= self.fanout:
+            tier += 1
+        for t, path in self.runs:
+            dealt = dealt.unionByName(spark.read.schema(blocks.SCHEMA).parquet(path).where(F.col("kind") == RUN).withColumn("kind", F.lit(RUN if t < tier else OLD)))
+        found = dealt.repartitionById(self.n, F.col("bucket")).mapInArrow(partial(_merge_join, n=self.n), blocks.SCHEMA)
+        if self.folder:
+            path = f"{self.folder.rstrip('/')}/window-run-{uuid.uuid4().hex}"
+            write_table(found, path)
+        else:
+            path = write_shared(found, "window-run")
+        self.runs = [r for r in self.runs if r[0] >= tier] + [(tier, path)]
+        self.last = self.last if high is None else high
+        return spark.read.schema(blocks.SCHEMA).parquet(path).where(F.col("kind") == HIT)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the manifest."""
+        held = {k: getattr(self, k) for k in ("n", "width", "fanout", "flush", "folder", "runs", "last")}
+        spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> WindowIndex:
+        """The index that a manifest names."""
+        held = json.loads(spark.read.text(path).first().value)
+        out = cls(held["n"], held["width"], held["fanout"], held["flush"], held["folder"])
+        out.runs, out.last = [(t, p) for t, p in held["runs"]], held["last"]
+        return out
 
 
 @frugal
@@ -202,8 +239,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, batches: int = 4, fanout:
     n_removed, kept_text (kept words joined by one space) and removed_spans (word
     positions, end exclusive).
     """
-    spark = docs.sparkSession
-    index = WindowIndex(partitions(spark), width, fanout)
+    index = WindowIndex(buckets(docs), width, fanout)
     hits = None
     edges = [None, *cut_points(docs, doc_id, batches), None]
     ident = F.col(doc_id).cast("long")

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.llm import blocks
@@ -40,14 +41,38 @@ def test_batches_runs_and_width_do_not_change_results(edge_docs, edge_rows):
     assert got(substring_dedup(edge_docs, width=5, batches=6, fanout=1)) == brute(edge_rows, 5)
 
 
-def test_compaction_keeps_one_run(edge_docs):
-    index = WindowIndex(3, fanout=2)
-    for lo, hi in ((0, 10), (10, 30), (30, 90)):
+def test_late_ids_are_refused(edge_docs):
+    index = WindowIndex(3)
+    index.append(edge_docs.where("doc_id BETWEEN 10 AND 30"))
+    for late in ("doc_id = 4", "doc_id = 30", "doc_id = 20 OR doc_id = 70"):
+        with pytest.raises(ValueError, match="comes after 30"):
+            index.append(edge_docs.where(late))
+    index.append(edge_docs.where("doc_id < 0"))
+    index.append(edge_docs.where("doc_id IS NULL"))
+    with pytest.raises(ValueError, match="comes after"):
+        index.append(edge_docs.where("doc_id = 70"))
+
+
+def test_tiers_and_a_manifest(spark, edge_docs, tmp_path):
+    """Runs are merged by tier; an index opened again goes on and finds what the first session put in."""
+    index = WindowIndex(3, fanout=2, folder=str(tmp_path / "runs"))
+    tiers = []
+    for lo, hi in ((0, 10), (10, 20), (20, 30), (30, 40), (40, 50), (50, 60), (60, 70), (70, 80)):
         index.append(edge_docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)))
-    assert len(index.runs) == 1
-    again = index.append(edge_docs.where("doc_id = 4"))
-    found = [np.repeat(*blocks.unpack(r.blob)[0:3:2]) for r in again.collect()]
-    assert sum(len(x) for x in found) == 120 - 12
+        tiers.append([t for t, _ in index.runs])
+    assert tiers == [[0], [0, 0], [1], [1, 0], [1, 0, 0], [1, 1], [1, 1, 0], [1, 1, 0, 0]]
+    index.save(spark, str(tmp_path / "manifest"))
+    again = WindowIndex.open(spark, str(tmp_path / "manifest"))
+    assert again.runs == index.runs and again.last == 79
+    late = edge_docs.where("doc_id IN (4, 75)").withColumn("doc_id", F.col("doc_id") + 1000)
+    found = {}
+    for row in again.append(late).collect():
+        d, _, c, _ = blocks.unpack(row.blob)
+        for k, n in zip(d.tolist(), c.tolist(), strict=True):
+            found[k] = found.get(k, 0) + n
+    assert [t for t, _ in again.runs] == [2]
+    words = {r.doc_id: len(WORD.findall(r.text)) for r in late.collect()}
+    assert found == {k: n - 12 for k, n in words.items() if n > 12}
 
 
 def test_removed_spans(spark):
