@@ -12,6 +12,9 @@ or of different documents, is a repeat, and all bytes it covers are removed.
 2. For each repeated anchor the strings that have it form one stretch of text, the
    context; a context holds no string of another anchor. Contexts are dealt by anchor
    hash; equal contexts count once, with their multiplicity.
+   An anchor with more than ``hot`` places is split: its stretches are cut once more by a
+   second anchor under another hash, and are dealt by both anchors and their distance.
+   So a common line of the length of a gram does not bring all contexts to one shard.
 3. Each shard builds a run-length index of its distinct contexts: the Burrows-Wheeler
    transform, kept as its runs, with the text position and the longest common prefix
    sampled at the ends of each run. Matching statistics (the longest match of each
@@ -36,17 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import blocks
-from .store import partitions
+from .store import buckets, materialize
 from .substring_index import row_key
 from .textops import Poly, buffers, frugal, mix, slice_rows, slices
 
-ANCHOR, CONTEXT, HIT = 0, 1, 2
+ANCHOR, CONTEXT, HIT, HOT = 0, 1, 2, 3
 SHARD_SYMBOLS = 1 << 21
+HOT_BYTES = 64 << 20  # of hot anchors' hashes that are broadcast; if there are more, all anchors are taken as hot
 
-_GRAM, _TEXT = Poly(41), Poly(42)
+_GRAM, _TEXT, _SECOND = Poly(41), Poly(42), Poly(43)
 
 
-def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, by: Poly = _GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of window starts with the same anchor: first start, last start (inclusive), anchor position, anchor hash.
 
     Positions are in ``data``; no window crosses a row.
@@ -55,8 +59,8 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     if len(data) < length:
         return none, none, none, np.zeros(0, np.uint64)
     at = np.arange(len(data) - gram + 1)
-    h = _GRAM.spans(_GRAM.bytes(data), at, at + gram)
-    bits = max(1, int(len(h) - 1).bit_length())
+    h = by.spans(by.bytes(data), at, at + gram)
+    bits = max(21, int(len(h) - 1).bit_length())  # the same for all slices, so that they agree on the smallest
     low = np.uint64((1 << bits) - 1)
     ranked = (h & ~low) | at.astype(np.uint64)  # leftmost of equals
     w = length - gram + 1
@@ -80,13 +84,13 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     return starts[first], starts[last], anchor, h[anchor]
 
 
-def _twice(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each value whether it occurs twice or more, and the index of the first of each distinct one."""
+def _twice(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each value whether it occurs twice or more, and the index of the first of each distinct one and how often it occurs."""
     order = np.argsort(values, kind="stable")
     starts, counts = blocks.runs_of(values[order])
     many = np.zeros(len(values), bool)
     many[order] = np.repeat(counts > 1, counts)
-    return many, order[starts] if len(starts) else np.zeros(0, np.int64)
+    return many, order[starts] if len(starts) else np.zeros(0, np.int64), counts
 
 
 @frugal
@@ -96,12 +100,12 @@ def _anchors(it: Iterator[pa.RecordBatch], length: int, gram: int, n: int, flush
 
     def out():
         h, doc, tag, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        many, one = _twice(h)
+        many, one, times = _twice(h)
         found = blocks.locate(doc[many], tag[many], pos[many], n, HIT) if many.any() else []
         for b, i in blocks.by_bucket((h[one] % np.uint64(n)).astype(np.int64), n):
             k = one[i]
             single = k[~many[k]]
-            found.append((ANCHOR, b, blocks.pack(h[k[many[k]]], h[single], doc[single], tag[single], blocks.narrow(pos[single]))))
+            found.append((ANCHOR, b, blocks.pack(h[k[many[k]]], blocks.narrow(times[i][many[k]]), h[single], doc[single], tag[single], blocks.narrow(pos[single]))))
         yield from blocks.rows(found)
 
     for batch in it:
@@ -123,8 +127,8 @@ def _anchors(it: Iterator[pa.RecordBatch], length: int, gram: int, n: int, flush
         yield from out()
 
 
-def _repeated(it: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """HIT blocks of anchors seen once by their task and by another one too."""
+def _repeated(it: Iterator[pa.RecordBatch], n: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """HIT blocks of anchors seen once by their task and by another one too; HOT blocks of anchors with more than ``hot`` places."""
     known: dict[int, list[list[np.ndarray]]] = {}
     for batch in it:
         yield batch.filter(pa.array(batch.column(0).to_numpy() == HIT))  # decided before
@@ -133,9 +137,15 @@ def _repeated(it: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
                 known.setdefault(b, []).append(blocks.unpack(blob.as_py()))
     for b in sorted(known):
         parts = known.pop(b)
-        many, h, doc, tag, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        again, _ = _twice(np.concatenate((h, many)))
+        many, times, h, doc, tag, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        all_, times = np.concatenate((h, many)), np.concatenate((np.ones(len(h), np.int64), times.astype(np.int64)))
+        again, one, _ = _twice(all_)
         again = again[: len(h)]
+        if len(one):
+            order = np.argsort(all_, kind="stable")
+            places = np.add.reduceat(times[order], blocks.runs_of(all_[order])[0])
+            if (places > hot).any():
+                yield from blocks.rows([(HOT, b, all_[one[places > hot]].tobytes())])
         if again.any():
             yield from blocks.rows(blocks.locate(doc[again], tag[again], pos[again].astype(np.int64), n, HIT))
 
@@ -164,16 +174,33 @@ def _regroup_ranges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(d[s]), pa.array(t[s].astype(np.int64)), pa.array([pairs[a:b].tobytes() for a, b in zip(s, e, strict=True)], pa.binary())], names=["key_id", "key_tag", "positions"])
 
 
+def _split(part: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of hot anchors cut by a second anchor, the smallest gram of each string under another hash: first, last, and a hash of both anchors and their distance.
+
+    Equal strings agree in both and in the distance, so they still meet.
+    """
+    sizes = last - first + length
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    own = np.repeat(np.arange(len(first)), sizes)
+    text = part[first[own] + np.arange(at[-1]) - at[own]]
+    a, b, second, h2 = minimizers(text, at, length, gram, _SECOND)
+    k = np.searchsorted(at, a, side="right") - 1
+    shift = first[k] - at[k]
+    away = (second + shift - anchor[k]).astype(np.uint64)
+    return a + shift, b + shift, mix(h[k] ^ mix(h2 + away))
+
+
 @frugal
-def _contexts(it: Iterator[pa.RecordBatch], length: int, gram: int, n: int, flush: int) -> Iterator[pa.RecordBatch]:
-    """CONTEXT blocks of the stretches below repeated anchors; HIT blocks of those the task has seen twice."""
+def _contexts(it: Iterator[pa.RecordBatch], length: int, gram: int, n: int, flush: int, hot) -> Iterator[pa.RecordBatch]:
+    """CONTEXT blocks of the stretches below repeated anchors; HIT blocks of those the task has seen twice. ``hot``: a broadcast of sorted hashes, or None for all."""
     held, texts, size = [], [], 0
+    known = None if hot is None else hot.value
 
     def out():
         # d1: digest of the context; a: anchor hash; begin and end: its place in the joined text
         a, digest, doc, tag, first, last, begin, end = (np.concatenate(x) for x in zip(*held, strict=True))
         joined = np.concatenate(texts)
-        many, one = _twice(digest)
+        many, one, _ = _twice(digest)
         found = ranges(doc[many], tag[many], first[many], last[many], n) if many.any() else []
         for b, i in blocks.by_bucket((a[one] % np.uint64(n)).astype(np.int64), n):
             k = one[i]
@@ -196,9 +223,13 @@ def _contexts(it: Iterator[pa.RecordBatch], length: int, gram: int, n: int, flus
                 if marks[i].is_valid:
                     hit[np.frombuffer(marks[i].as_py(), "<u4").astype(np.int64) + offs[i - lo]] = True
             keep = hit[anchor]
-            first, last, h = first[keep], last[keep], h[keep]
+            first, last, anchor, h = first[keep], last[keep], anchor[keep], h[keep]
             if not len(first):
                 continue
+            wide = np.ones(len(h), bool) if known is None else np.isin(h, known)
+            if wide.any():
+                split = _split(part, first[wide], last[wide], anchor[wide], h[wide], length, gram)
+                first, last, h = (np.concatenate((x[~wide], y)) for x, y in zip((first, last, h), split, strict=True))
             row = np.searchsorted(offs, first, side="right") - 1
             prefix = _TEXT.bytes(part)
             digest = _TEXT.spans(prefix, first, last + length) ^ h
@@ -329,7 +360,7 @@ def _indexed(it: Iterator[pa.RecordBatch], length: int, n: int) -> Iterator[pa.R
         first = first.astype(np.int64)
         text = np.concatenate(text)
         begin = np.cumsum(size) - size
-        many, one = _twice(digest)
+        many, one, _ = _twice(digest)
         # equal contexts that several tasks sent
         k = np.flatnonzero(many & (decided == 0))
         if len(k):
@@ -383,18 +414,30 @@ def _cut(it: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, CUT.field("spans").type), pa.array(kept, pa.binary())], schema=CUT)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, flush: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (byte ranges removed, end exclusive), kept (the remaining bytes)."""
-    n = partitions(docs.sparkSession)
+def _hot(seen: DataFrame):
+    """The hot anchors' sorted hashes, broadcast if they are within ``HOT_BYTES``; None, for all anchors, if not."""
+    rows = seen.where(F.col("kind") == HOT)
+    if (rows.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) > HOT_BYTES:
+        return None
+    found = [np.frombuffer(x.blob, np.uint64) for x in rows.select("blob").collect()]
+    return seen.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.uint64), *found])))
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64, flush: int = 2_000_000, hot: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (byte ranges removed, end exclusive), kept (the remaining bytes).
+
+    ``hot``: places from which on an anchor is split.
+    """
+    n = buckets(docs)
     key_id, key_tag = row_key(doc_id, text)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key_id.alias("key_id"), key_tag.alias("key_tag"), F.col(text).alias("text"))
     home = F.col("bucket")
     sent = base.select("key_id", "key_tag", "text").mapInArrow(partial(_anchors, length=length, gram=gram, n=n, flush=flush), blocks.SCHEMA)
-    seen = sent.repartitionById(n, home).mapInArrow(partial(_repeated, n=n), blocks.SCHEMA)
-    marked = seen.repartitionById(n, home).mapInArrow(blocks.regroup, blocks.LOCATED)
+    seen = materialize(sent.repartitionById(n, home).mapInArrow(partial(_repeated, n=n, hot=hot), blocks.SCHEMA), "anchors")
+    marked = seen.where(F.col("kind") == HIT).repartitionById(n, home).mapInArrow(blocks.regroup, blocks.LOCATED)
     keys = ["key_id", "key_tag"]
     columns = ["doc_id", "key_id", "key_tag", "text", "positions"]
-    contexts = base.join(marked, keys).select(columns).mapInArrow(partial(_contexts, length=length, gram=gram, n=n, flush=4 * flush), blocks.SCHEMA)
+    contexts = base.join(marked, keys).select(columns).mapInArrow(partial(_contexts, length=length, gram=gram, n=n, flush=4 * flush, hot=_hot(seen)), blocks.SCHEMA)
     found = contexts.repartitionById(n, home).mapInArrow(partial(_indexed, length=length, n=n), blocks.SCHEMA)
     where = found.repartitionById(n, home).mapInArrow(_regroup_ranges, blocks.LOCATED)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"

@@ -86,6 +86,44 @@ def test_short_strings_and_small_flushes(edge_docs, edge_rows, flush):
     assert got(r.remove_repeats(edge_docs, length=24, gram=8, flush=flush)) == want
 
 
+def anchor_line(rnd, n):
+    """A line whose first gram has so small a hash that it is the anchor of nearly all strings that hold it."""
+    lines = ["".join(rnd.choice("abcdefgh") for _ in range(n)) for _ in range(3000)]
+    at = np.arange(3000) * n
+    return lines[int(r._GRAM.spans(r._GRAM.bytes(np.frombuffer("".join(lines).encode(), np.uint8)), at, at + 64).argmin())]
+
+
+@pytest.mark.parametrize("hot,hot_bytes", [(3, 1 << 20), (3, 0), (10**9, 1 << 20)])
+def test_one_anchor_with_very_many_contexts(spark, monkeypatch, hot, hot_bytes):
+    """A line that all texts share, in contexts of their own, and some true repeats around it."""
+    rnd = random.Random(6)
+    letters = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    for line in (anchor_line(rnd, 64), anchor_line(rnd, 70), "x" * 90):
+        around = [letters(150) + line + letters(150) for _ in range(3)]
+        rows = [(k, letters(rnd.randint(0, 200)) + line + letters(rnd.randint(0, 200))) for k in range(300)]
+        rows += [(1000 + k, letters(rnd.randint(0, 40)) + rnd.choice(around)[rnd.randint(0, 60) :]) for k in range(40)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        want = sorted((str(x[0]), *b) for x, b in zip(rows, brute([x[1] for x in rows], 200), strict=True))
+        monkeypatch.setattr(r, "HOT_BYTES", hot_bytes)
+        assert got(r.remove_repeats(df, hot=hot)) == want
+        assert 20 < sum(x[2] > 0 for x in want) < 60
+
+
+def test_a_hot_anchor_is_dealt_to_many_shards():
+    rnd = random.Random(7)
+    line = anchor_line(rnd, 64)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(200)) + line + "".join(rnd.choice("abcdefgh") for _ in range(200)) for _ in range(500)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    first, last, anchor, h = r.minimizers(data, np.arange(501) * 464, 200, 64)
+    values, counts = np.unique(h, return_counts=True)
+    hot = h == values[counts.argmax()]
+    assert hot.sum() >= 400
+    a, b, key = r._split(data, first[hot], last[hot], anchor[hot], h[hot], 200, 64)
+    covered = lambda first, last: sorted(p for s, e in zip(first, last, strict=True) for p in range(s, e + 1))
+    assert covered(a, b) == covered(first[hot], last[hot])
+    assert np.unique(key, return_counts=True)[1].max() < 250 and len(np.unique(key)) > 500
+
+
 def test_spans(spark):
     p = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(100))
     rows = [(1, f"xx{p}yy"), (2, f"{p[:250]}z"), (3, "é" * 300)]
