@@ -32,6 +32,11 @@ def control_word(start: Column, clear: Column, subsample: Column, jfif: Column)
     return bit(start, 0).bitwiseOR(bit(clear, 1)).bitwiseOR(bit(subsample, 2)).bitwiseOR(bit(jfif, 3))
 
 
+def control_flags(word: Column) -> dict[str, Column]:
+    """A control word's flags by name."""
+    return {n: word.bitwiseAND(1 << k) != 0 for k, n in enumerate(("start", "clear", "subsample", "jfif"))}
+
+
 def hex32(v: Column) -> Column:
     return F.format_string("0x%08x", v.cast("bigint"))
 
@@ -45,8 +50,8 @@ def slug(name: Column) -> Column:
 
 
 def label(text: Column) -> Column:
-    """A report label as a name: lower case, underscores, ``of_`` in front made ``number_of_``."""
-    s = F.regexp_replace(F.lower(F.trim(text)), r"[\s\-/]+", "_")
+    """A report label as a name: lower case, one underscore for a run of white space and for each ``-`` and ``/``, ``of_`` in front made ``number_of_``."""
+    s = F.translate(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)^\s+|\s+$", ""), r"(?U)\s+", "_"), "-/", "__")
     return F.when(s.startswith("of_"), F.concat(F.lit("number_"), s)).otherwise(s)
 
 
@@ -58,6 +63,19 @@ def near(a: Column, b: Column, relative: float = 1e-12, absolute: float = 1e-9)
     return F.abs(a - b) <= F.greatest(relative * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
 
 
+def clock_record(period_ns: Column) -> Column:
+    """Period and frequency of a clock, their checks, and whether they belong together; nothing not finite is kept."""
+    ns = period_ns.cast("double")
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    mhz = F.when(finite(ns) & (ns != 0), F.lit(1000.0) / F.nullif(ns, F.lit(0.0)))
+    checks = {"clock_period_finite": finite(ns), "clock_period_positive": F.coalesce((ns > 0) & ~F.isnan(ns), F.lit(False)), "clock_frequency_finite": finite(mhz), "clock_frequency_positive": F.coalesce(mhz > 0, F.lit(False))}
+    sound = F.lit(True)
+    for c in checks.values():
+        sound = sound & c
+    match = sound & F.coalesce(near(ns * mhz, F.lit(1000.0)), F.lit(False))
+    return F.struct(F.when(finite(ns), ns).alias("clock_period_ns"), mhz.alias("clock_frequency_mhz"), *[c.alias(n) for n, c in checks.items()], match.alias("period_frequency_match"), match.alias("valid"))
+
+
 MARKERS = {0xD8: "SOI", 0xD9: "EOI", 0xDB: "DQT", 0xDD: "DRI", 0xC0: "SOF0", 0xC4: "DHT", 0xDA: "SOS"}
 
 

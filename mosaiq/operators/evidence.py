@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 def strict(files: DataFrame) -> DataFrame:
     """(path, text) to (path, v, error): JSON objects only, without NaN or Infinity."""
     parsed = files.select("path", "text", F.try_parse_json("text").alias("v"))
-    bad = F.col("text").rlike(r"(?:^|[\[{:,\s])-?(?:NaN|Infinity)(?:[\]},\s]|$)")
+    outside = F.regexp_replace("text", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')  # what stands in strings is not judged
+    bad = outside.rlike(r"\b(?:NaN|Infinity)\b")
     kind = F.schema_of_variant("v")
-    error = F.when(F.col("v").isNull(), "not JSON").when(bad, "not a finite number").when(~kind.startswith("OBJECT"), "root is not an object")
+    error = F.when(bad, "not a finite number").when(F.col("v").isNull(), "not JSON").when(~kind.startswith("OBJECT"), "root is not an object")
     return parsed.select("path", F.when(error.isNull(), F.col("v")).alias("v"), error.alias("error"))
 
 
@@ -33,8 +34,10 @@ def is_sha256(text: Column, any_case: bool = False) -> Column:
     return F.coalesce(text.rlike("^[0-9a-fA-F]{64}$" if any_case else "^[0-9a-f]{64}$"), F.lit(False))
 
 
-def first_seen(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """(keys, values): distinct values in the order in which they first appear."""
+def first_seen(rows: DataFrame, keys: list[str], value: str, order: str, kinds: tuple[str, ...] | None = None, kind_of: str = "kind") -> DataFrame:
+    """(keys, values): distinct values in the order in which they first appear; with ``kinds`` only those whose ``kind_of`` is one of them."""
+    if kinds is not None:
+        rows = rows.where(F.col(kind_of).isin(*kinds))
     once = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("_at"))
     listed = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("v")))).alias("vs"))
     return listed.select(*keys, F.transform("vs", lambda s: s.v).alias("values"))
@@ -46,6 +49,43 @@ def summary(checks: DataFrame, keys: list[str]) -> DataFrame:
     return checks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_passed"), F.count_if(~ok).alias("n_failed"), F.array_sort(F.collect_set(F.when(~ok, F.col("rule")))).alias("failed"), F.bool_and(ok).alias("complete"))
 
 
+def status_roll_up(rows: DataFrame, keys: list[str], text: str = "text", busy: str = "busy", error: str = "protocol_error") -> DataFrame:
+    """(keys, all_idle, any_busy, any_protocol_error); a missing flag is not set, a missing text is not idle."""
+    set_ = lambda c: F.coalesce(c, F.lit(False))
+    return rows.groupBy(*keys).agg(F.bool_and(set_(F.col(text) == "idle")).alias("all_idle"), F.bool_or(set_(F.col(busy))).alias("any_busy"), F.bool_or(set_(F.col(error))).alias("any_protocol_error"))
+
+
+def sums_by_field(records: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, n, total): how many records have each number, and their sum."""
+    long = records.select(*[F.col(f).cast("bigint").alias(f) for f in fields]).unpivot([], fields, "field", "value")
+    return long.groupBy("field").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+
+
+def grouped_checks(checks: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, grp) summaries of (rule, passed) rows by the groups (rule, grp) that rules belong to; a rule of a group without a row counts as failed."""
+    need = checks.select(*keys).distinct().crossJoin(F.broadcast(groups))  # as many rows as there are named rules
+    return summary(need.join(checks, [*keys, "rule"], "left"), [*keys, "grp"])
+
+
+def toolchain(rows: DataFrame) -> DataFrame:
+    """(host, os, make, sh, verilator, shell, makeshell) to (host, rule, kind): problems and warnings of a host's tools."""
+    said = lambda c: F.lower(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("\\"), F.lit("/")))
+    tool = lambda c, name, folder: said(c).rlike(rf"/{folder}/{name}(?:\.exe)?$")
+    windows = F.col("os") == "nt"
+    unix_make, unix_sh = tool("make", "make", "usr/bin"), tool("sh", "sh", "usr/bin")
+    unix_verilator = tool("verilator", "verilator", "(?:mingw64|mingw32|ucrt64|clang64|usr)/bin")
+    cmd = said("shell").rlike(r"(?:^|/)cmd(?:\.exe)?$") | said("makeshell").rlike(r"(?:^|/)cmd(?:\.exe)?$")
+    rules = {
+        ("no_make", "problem"): F.col("make").isNull(),
+        ("no_verilator", "problem"): F.col("verilator").isNull(),
+        ("unix_make_on_windows", "problem"): windows & unix_make & unix_sh,
+        ("unix_verilator_on_windows", "warning"): windows & unix_verilator,
+        ("cmd_shell_override", "warning"): windows & unix_make & cmd,
+    }
+    found = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("kind"), F.coalesce(c, F.lit(False)).alias("found")) for (r, k), c in rules.items()])
+    return rows.select("host", F.explode(found).alias("r")).where("r.found").select("host", "r.rule", "r.kind")
+
+
 def differing(saved: DataFrame, recomputed: DataFrame, key: str) -> DataFrame:
     """(key, field, saved, recomputed) where two records of a key differ in a field, or one is absent."""
     fields = [c for c in saved.columns if c != key]

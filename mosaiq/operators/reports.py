@@ -69,8 +69,9 @@ def floorplan(rows: DataFrame) -> DataFrame:
 
 
 def address(text: Column) -> Column:
-    """A hexadecimal address, underscores ignored, as a 64-bit number."""
-    return F.conv(F.replace(F.substring(text, 3, 64), F.lit("_"), F.lit("")), 16, 10).cast("bigint")
+    """A hexadecimal address, underscores ignored, as an unsigned 64-bit number; null for one that has more bits."""
+    digits = F.regexp_replace(F.replace(F.substring(text, 3, 1 << 20), F.lit("_"), F.lit("")), "^0+(?=.)", "")
+    return F.when(F.length(digits).between(1, 16), F.conv(F.when(F.length(digits).between(1, 16), digits), 16, 10).cast("decimal(20,0)"))
 
 
 def address_map(rows: DataFrame, interfaces: DataFrame) -> DataFrame:
@@ -80,30 +81,42 @@ def address_map(rows: DataFrame, interfaces: DataFrame) -> DataFrame:
     return joined.select("path", "line_no", F.concat_ws("/", "component", "interface").alias("interface"), address(F.get("hex", F.lit(0))).alias("base"), address(F.get("hex", F.lit(1))).alias("high"))
 
 
-def overlaps(ranges: DataFrame, key: str = "id", step: int = 65536) -> DataFrame:
-    """Pairs (a, b), a < b, of different keys whose inclusive ranges [base, high] share an address.
+def overlaps(ranges: DataFrame, key: str = "id", step: int = 65536, within: list[str] | None = None) -> DataFrame:
+    """Pairs (within, a, b), a < b, of different keys whose inclusive ranges [base, high] share an address.
 
-    Ranges meet in the blocks of ``step`` addresses they touch, and a pair is reported
-    only in the first block it shares; so there is no join of all with all.
+    Cells have sizes ``step`` * 16^level. A range is held in the level where it touches
+    at most two cells, however wide it is, and looks in the cells it touches of that and
+    all coarser levels; a pair is reported once, in the cell where its later range begins.
     """
-    cell = F.explode(F.sequence(F.floor(F.col("base") / step), F.floor(F.col("high") / step)))
-    cut = ranges.where("base <= high").select(F.col(key).alias("k"), "base", "high", cell.alias("cell"))
-    a, b = cut.alias("a"), cut.alias("b")
-    meet = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.base") <= F.col("b.high")) & (F.col("b.base") <= F.col("a.high"))
-    once = F.col("a.cell") == F.floor(F.greatest("a.base", "b.base") / step)
-    return a.join(b, meet).where(once).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+    own = within or []
+    size = lambda level: F.lit(float(step)) * F.pow(F.lit(16.0), level)
+    cells = lambda level: F.sequence(F.floor(F.col("base").cast("double") / size(level)), F.floor(F.col("high").cast("double") / size(level)))
+    length = (F.col("high") - F.col("base") + 1).cast("double")
+    cut = ranges.where("base <= high").select(*own, F.col(key).alias("k"), "base", "high").withColumn("level", F.greatest(F.lit(0), F.ceil(F.log(16.0, length / step))).cast("int"))
+    top = 17  # 16^17 passes all 64 bits
+    held = cut.select("*", F.explode(cells(F.col("level"))).alias("cell"))
+    looks = cut.select("*", F.explode(F.sequence("level", F.lit(top))).alias("at")).select("*", F.explode(cells(F.col("at"))).alias("cell"))
+    a, b = held.alias("a"), looks.alias("b")
+    meet = (F.col("a.level") == F.col("b.at")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.k") != F.col("b.k"))
+    for c in own:
+        meet = meet & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    meet = meet & (F.col("a.base") <= F.col("b.high")) & (F.col("b.base") <= F.col("a.high"))
+    once = (F.col("a.cell") == F.floor(F.greatest("a.base", "b.base").cast("double") / size(F.col("a.level")))) & ((F.col("a.level") > F.col("b.level")) | (F.col("a.k") < F.col("b.k")))
+    return a.join(b, meet).where(once).select(*[F.col(f"a.{c}").alias(c) for c in own], F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"))
 
 
 def address_problems(entries: DataFrame, interfaces: DataFrame) -> DataFrame:
-    """(interface, rule) of missing, repeated, inverted and overlapping entries."""
+    """(path, interface, rule) of missing, unreadable, repeated, inverted and overlapping entries of each report that has any."""
     need = interfaces.select(F.concat_ws("/", "component", "interface").alias("interface"))
-    row = lambda df, rule: df.select("interface", F.lit(rule).alias("rule"))
-    distinct = entries.select("interface", "base", "high").distinct()
-    crossing = overlaps(distinct.where("high IS NOT NULL"), "interface")
-    both = crossing.select(F.explode(F.array("a", "b")).alias("interface")).distinct()
+    need = entries.select("path").distinct().crossJoin(F.broadcast(need))  # the required interfaces, a handful
+    row = lambda df, rule: df.select("path", "interface", F.lit(rule).alias("rule"))
+    distinct = entries.select("path", "interface", "base", "high").distinct()
+    crossing = overlaps(distinct.where("high IS NOT NULL"), "interface", within=["path"])
+    both = crossing.select("path", F.explode(F.array("a", "b")).alias("interface")).distinct()
     return (
-        row(need.join(entries, "interface", "left_anti"), "missing")
-        .unionByName(row(distinct.groupBy("interface").count().where("count > 1"), "duplicate"))
+        row(need.join(entries, ["path", "interface"], "left_anti"), "missing")
+        .unionByName(row(distinct.where("base IS NULL"), "unreadable"))
+        .unionByName(row(distinct.groupBy("path", "interface").count().where("count > 1"), "duplicate"))
         .unionByName(row(distinct.where("high < base"), "inverted"))
         .unionByName(row(both, "overlap"))
     )

@@ -89,11 +89,11 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "region")
     rows = r.select(F.lit("world").alias("src"), F.col("r_name").alias("instance"), F.concat(F.lit("r"), F.col("r_regionkey")).alias("dst"))
     rows = rows.unionByName(n.select(F.concat(F.lit("r"), F.col("n_regionkey")).alias("src"), F.col("n_name").alias("instance"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("dst")))
-    rows = rows.unionByName(c.where("c_custkey <= 100").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("src"), F.col("c_name").alias("instance"), F.concat(F.lit("mem_"), F.col("c_mktsegment")).alias("dst")))
-    rows = rows.unionByName(s.where("s_suppkey <= 10").select(F.concat(F.lit("n"), F.col("s_nationkey")).alias("src"), F.col("s_name").alias("instance"), F.lit("world").alias("dst")))
+    rows = rows.unionByName(c.select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("src"), F.col("c_name").alias("instance"), F.concat(F.lit("mem_"), F.col("c_mktsegment")).alias("dst")))
+    rows = rows.unionByName(s.select(F.concat(F.lit("n"), F.col("s_nationkey")).alias("src"), F.col("s_name").alias("instance"), F.lit("world").alias("dst")))
     return rows.select("src", F.replace("instance", F.lit("#"), F.lit("_")).alias("instance"), "dst")
 
 
 LINKS = """lk AS (SELECT src, replace(instance, '#', '_') AS instance, dst FROM (
   SELECT 'world' AS src, r_name AS instance, 'r' || r_regionkey AS dst FROM region UNION ALL SELECT 'r' || n_regionkey, n_name, 'n' || n_nationkey FROM nation
-  UNION ALL SELECT 'n' || c_nationkey, c_name, 'mem_' || c_mktsegment FROM customer WHERE c_custkey <= 100 UNION ALL SELECT 'n' || s_nationkey, s_name, 'world' FROM supplier WHERE s_suppkey <= 10))"""
+  UNION ALL SELECT 'n' || c_nationkey, c_name, 'mem_' || c_mktsegment FROM customer UNION ALL SELECT 'n' || s_nationkey, s_name, 'world' FROM supplier))"""

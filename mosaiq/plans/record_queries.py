@@ -145,31 +145,50 @@ def range_overlaps(spark, sf):
     return reports.overlaps(r, step=64)
 
 
-MAP = "Slave /encoder/s_axi_control base 0xA000_0000 high 0xA000_FFFF\nDMA\\S_AXI_LITE 0xA0008000 0xA001_7FFF\n/intc/s_axi 0xA003_0000 0xA002_0000\n/intc/s_axi 0xA003_0000 0xA003_FFFF\nnothing 0x1\n"
 NEEDED = [("encoder", "s_axi_control"), ("dma", "s_axi_lite"), ("intc", "s_axi"), ("uart", "s_axi")]
 
 
-def _map(spark):
+def _map(spark, sf):
+    """An address map for each supplier, its entries from the supplier's key: overlapping, inverted, repeated, missing and too wide ones among them."""
+    k = F.col("s_suppkey")
+    hex_ = lambda v: F.concat(F.lit("0x"), F.regexp_replace(F.lpad(F.hex(v), 9, "0"), "(.{4})$", "_$1"))
+    entry = lambda name, base, size: F.concat(F.lit(name + " base "), hex_(base), F.lit(" high "), hex_(base + size), F.lit("\n"))
+    text = F.concat(
+        entry("Slave /encoder/s_axi_control", k * 65536, F.lit(65535)),
+        F.when(k % 4 != 0, entry("DMA\\S_AXI_LITE", k * 65536 + F.when(k % 3 == 0, 32768).otherwise(65536), F.when(k % 5 == 0, -1).otherwise(1 << 30))).otherwise("nothing 0x1\n"),
+        entry("/intc/s_axi", k * 65536 + (1 << 33), F.lit(255)),
+        F.when(k % 6 == 0, entry("/intc/s_axi", k * 65536 + (1 << 33), F.lit(511))).otherwise(""),
+        F.when(k % 7 == 0, "uart s_axi 0xFFFF_FFFF_FFFF_FFFF 0x1_0000_0000_0000_0000\n").when(k % 7 == 1, "uart s_axi 0x1_0000_0000_0000_0000\n").otherwise(""),
+    )
     need = spark.createDataFrame(NEEDED, "component string, interface string")
-    return reports.address_map(reports.lines(spark.createDataFrame([("m", MAP)], "path string, text string")), need), need
+    return reports.address_map(reports.lines(i.table(spark, sf, "supplier").select(F.concat(F.lit("m"), k).alias("path"), text.alias("text"))), need), need
+
+
+MAP = """k AS (SELECT s_suppkey AS k FROM supplier), mp AS (SELECT k, 0 AS line_no, 'encoder/s_axi_control' AS interface, (k * 65536)::HUGEINT AS base, (k * 65536 + 65535)::HUGEINT AS high FROM k
+  UNION ALL SELECT k, 1, 'dma/s_axi_lite', b, b + CASE WHEN k % 5 = 0 THEN -1 ELSE 1073741824 END FROM (SELECT k, k * 65536 + CASE WHEN k % 3 = 0 THEN 32768 ELSE 65536 END AS b FROM k) WHERE k % 4 <> 0
+  UNION ALL SELECT k, 2, 'intc/s_axi', k * 65536 + 8589934592, k * 65536 + 8589934847 FROM k UNION ALL SELECT k, 3, 'intc/s_axi', k * 65536 + 8589934592, k * 65536 + 8589935103 FROM k WHERE k % 6 = 0
+  UNION ALL SELECT k, CASE WHEN k % 6 = 0 THEN 4 ELSE 3 END, 'uart/s_axi', CASE WHEN k % 7 = 0 THEN 18446744073709551615::HUGEINT END, NULL FROM k WHERE k % 7 < 2)"""
 
 
-@query("SELECT 'm' AS path, CAST(line_no AS INT) AS line_no, interface, base::BIGINT AS base, high::BIGINT AS high FROM (VALUES (0, 'encoder/s_axi_control', 2684354560, 2684420095), (1, 'dma/s_axi_lite', 2684387328, 2684452863), (2, 'intc/s_axi', 2684551168, 2684485632), (3, 'intc/s_axi', 2684551168, 2684616703)) v(line_no, interface, base, high)")
+@query(f"WITH {MAP} SELECT 'm' || k AS path, CAST(line_no AS INT) AS line_no, interface, CAST(base AS VARCHAR) AS base, CAST(high AS VARCHAR) AS high FROM mp")
 def address_map(spark, sf):
-    return _map(spark)[0]
+    return _map(spark, sf)[0].withColumns({c: F.col(c).cast("string") for c in ("base", "high")})
 
 
-@query("SELECT * FROM (VALUES ('uart/s_axi', 'missing'), ('intc/s_axi', 'duplicate'), ('intc/s_axi', 'inverted'), ('encoder/s_axi_control', 'overlap'), ('dma/s_axi_lite', 'overlap')) v(interface, rule)")
+@query(f"""WITH {MAP}, d AS (SELECT DISTINCT k, interface, base, high FROM mp) SELECT 'm' || k AS path, interface, rule FROM (
+  SELECT k, interface, 'missing' AS rule FROM k CROSS JOIN (VALUES ('encoder/s_axi_control'), ('dma/s_axi_lite'), ('intc/s_axi'), ('uart/s_axi')) n(interface) WHERE NOT EXISTS (SELECT 1 FROM mp WHERE mp.k = k.k AND mp.interface = n.interface)
+  UNION ALL SELECT k, interface, 'unreadable' FROM d WHERE base IS NULL UNION ALL SELECT k, interface, 'duplicate' FROM d GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT k, interface, 'inverted' FROM d WHERE high < base
+  UNION ALL SELECT DISTINCT x.k, x.interface, 'overlap' FROM d x JOIN d y ON x.k = y.k AND x.interface <> y.interface AND x.base <= x.high AND y.base <= y.high AND x.base <= y.high AND y.base <= x.high)""")
 def address_problems(spark, sf):
-    entries, need = _map(spark)
+    entries, need = _map(spark, sf)
     return reports.address_problems(entries, need)
 
 
-@query(r"""SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\1-\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1-\2', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '-')) AS slug, CASE WHEN starts_with(l, 'of_') THEN 'number_' || l ELSE l END AS label
-  FROM (SELECT p_partkey, p_brand || p_type || 'XMLFile' || p_name AS n, regexp_replace(lower(trim(' ' || CASE WHEN p_partkey % 2 = 0 THEN 'of ' ELSE '' END || p_type || '/' || p_name || '-x ')), '[\s\-/]+', '_', 'g') AS l FROM part)""")
+@query(r"""SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\1-\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1-\2', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '-')) AS slug, CASE WHEN starts_with(l, 'of_') THEN 'number_' ELSE '' END || replace(replace(l, '-', '_'), '/', '_') AS label
+  FROM (SELECT p_partkey, p_brand || p_type || 'XMLFile' || p_name AS n, regexp_replace(lower(trim(' ' || CASE WHEN p_partkey % 2 = 0 THEN 'of ' ELSE '' END || p_type || ' -/  ' || p_name || '-x ')), '\s+', '_', 'g') AS l FROM part)""")
 def name_slugs(spark, sf):
     p = i.table(spark, sf, "part")
-    text = F.concat(F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, "of ").otherwise(""), "p_type", F.lit("/"), "p_name", F.lit("-x "))
+    text = F.concat(F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, "of ").otherwise(""), "p_type", F.lit(" -/  "), "p_name", F.lit("-x "))
     return p.select("p_partkey", words.slug(F.concat("p_brand", "p_type", F.lit("XMLFile"), "p_name")).alias("slug"), words.label(text).alias("label"))
 
 
@@ -194,16 +213,17 @@ def close_numbers(spark, sf):
     return i.table(spark, sf, "orders").select("o_orderkey", words.near(F.col("o_totalprice"), b).alias("near"))
 
 
-@query("SELECT doc_id, sha256(left(text, 4096)) AS sha256, length(text) > 4096 AS cut FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(left(text, 4096)) AS sha256, length(text) > 4096 AS cut FROM documents")
 def truncated_texts(spark, sf):
     short, cut = words.truncated(F.col("text"))
-    return i.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(short, 256).alias("sha256"), cut.alias("cut"))
+    return i.table(spark, sf, "documents").select("doc_id", F.sha2(short, 256).alias("sha256"), cut.alias("cut"))
 
 
-@query("SELECT p.path, url IS NOT NULL AS exists, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS sha256 FROM (SELECT 'page' || k AS path, k FROM range(0, 60) t(k)) p LEFT JOIN (SELECT min(url) AS url, min(html) AS html, page_id FROM pages GROUP BY 3) g ON g.page_id = p.k")
+@query("SELECT p.path, url IS NOT NULL AS exists, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS sha256 FROM (SELECT 'page' || k AS path, k FROM (SELECT DISTINCT page_id + d AS k FROM pages, (VALUES (0), (3)) v(d))) p LEFT JOIN (SELECT min(url) AS url, min(html) AS html, page_id FROM pages GROUP BY 3) g ON g.page_id = p.k")
 def file_records(spark, sf):
     found = i.table(spark, sf, "pages").select(F.concat(F.lit("page"), "page_id").alias("path"), F.col("html").cast("binary").alias("content"))
-    return evidence.file_records(found, spark.range(60).select(F.concat(F.lit("page"), "id").alias("path")))
+    wanted = i.table(spark, sf, "pages").select(F.explode(F.array("page_id", F.col("page_id") + 3)).alias("id"))  # the last three are absent
+    return evidence.file_records(found, wanted.select(F.concat(F.lit("page"), "id").alias("path")))
 
 
 @query("""SELECT event_id, kind, is_true FROM (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'true' WHEN 1 THEN 'int' WHEN 2 THEN 'missing' WHEN 3 THEN 'null' WHEN 4 THEN 'string' WHEN 5 THEN 'array' ELSE 'number' END AS kind, event_id % 7 = 0 AS is_true FROM events)""")
@@ -215,10 +235,13 @@ def strict_kinds(spark, sf):
     return rows.select(F.col("path").alias("event_id"), evidence.kind(F.col("v"), "$.ok").alias("kind"), F.coalesce(evidence.is_true(F.col("v"), "$.ok"), F.lit(False)).alias("is_true"))
 
 
-@query("SELECT * FROM (VALUES ('a', NULL), ('b', 'not JSON'), ('c', 'root is not an object'), ('d', 'not JSON')) v(path, error)")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'not JSON' WHEN 2 THEN 'root is not an object' WHEN 3 THEN 'not a finite number' WHEN 4 THEN NULL ELSE 'not a finite number' END AS error FROM events""")
 def strict_errors(spark, sf):
-    rows = spark.createDataFrame([("a", '{"x": {"y": [1, 2.5, "NaN"]}}'), ("b", "{x"), ("c", "[1]"), ("d", '{"x": NaN}')], "path string, text string")
-    return evidence.strict(rows).select("path", F.when(F.col("error") == "not a finite number", "not JSON").otherwise(F.col("error")).alias("error"))
+    """Texts that are JSON objects, some with words in strings that would be refused as numbers, and texts that are not."""
+    k, n = F.col("event_id") % 6, F.col("event_id").cast("string")
+    text = F.when(k == 0, F.concat(F.lit('{"x": {"y": [1, 2.5, "NaN"]}, "n": '), n, F.lit("}"))).when(k == 1, F.concat(F.lit("{x"), n)).when(k == 2, F.concat(F.lit("["), n, F.lit("]")))
+    text = text.when(k == 3, F.concat(F.lit('{"x": NaN, "n": '), n, F.lit("}"))).when(k == 4, F.concat(F.lit('{"a": "is NaN here: \\" -Infinity, ", "n": '), n, F.lit("}"))).otherwise(F.concat(F.lit('{"n": '), n, F.lit(', "x": [-Infinity]}')))
+    return evidence.strict(i.table(spark, sf, "events").select(F.col("event_id").alias("path"), text.alias("text"))).select(F.col("path").alias("event_id"), "error")
 
 
 @query("SELECT user_id, array_to_string(list(event_type ORDER BY seen), ',') AS types FROM (SELECT user_id, event_type, min(event_id) AS seen FROM events GROUP BY 1, 2) GROUP BY 1")

@@ -1,4 +1,6 @@
 import json
+import random
+from decimal import Decimal
 
 import pytest
 
@@ -81,6 +83,20 @@ def test_overlaps_meet_once_across_blocks(spark):
     assert sorted(map(tuple, out)) == sorted(want)
 
 
+def test_overlaps_of_wide_ranges(spark):
+    rnd = random.Random(5)
+    rows = [(0, 0, 2**64 - 1), (1, 2**63, 2**63), (2, 2**40 - 1, 2**41)] + [(k, b, b + rnd.choice((0, 5, 10**6, 2**40, 2**59))) for k in range(3, 60) for b in [rnd.randrange(2 ** rnd.randint(1, 63))]]
+    df = spark.createDataFrame([(k, Decimal(b), Decimal(h)) for k, b, h in rows], "id int, base decimal(20,0), high decimal(20,0)")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] <= b[2] and b[1] <= a[2]}
+    for step in (64, 65536):
+        assert sorted(map(tuple, reports.overlaps(df, step=step).collect())) == sorted(want)
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([("0xFFFF_FFFF_FFFF_FFFF",), ("0x0000_0000_0000_0000_0000_001f",), ("0x1_0000_0000_0000_0000",), ("0x0",)], "s string")
+    assert [r[0] for r in df.select(reports.address(df.s)).collect()] == [2**64 - 1, 31, None, 0]
+
+
 def test_verdicts(spark):
     rows = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("c", None)], "rule string, passed boolean")
     need = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "rule string")
@@ -116,5 +132,5 @@ def test_differing_records(spark):
 def test_slugs_and_labels(spark):
     df = spark.createDataFrame([("JpegMcuStage",), ("AXIStreamCore2X",), ("--",), ("plain",)], "s string")
     assert [r[0] for r in df.select(words.slug(df.s)).collect()] == ["jpeg-mcu-stage", "axi-stream-core2-x", "graph", "plain"]
-    df = spark.createDataFrame([("of nets",), ("Fully-Routed / nets",)], "s string")
-    assert [r[0] for r in df.select(words.label(df.s)).collect()] == ["number_of_nets", "fully_routed_nets"]
+    df = spark.createDataFrame([("of nets",), ("Fully-Routed / nets",), (" nets - not/ routed\t",)], "s string")
+    assert [r[0] for r in df.select(words.label(df.s)).collect()] == ["number_of_nets", "fully_routed___nets", "nets___not__routed"]
