@@ -83,7 +83,7 @@ def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
-def hierarchy(spark: SparkSession, links: DataFrame, top: str, max_depth: int = 64, max_instances: int = 10_000) -> DataFrame:
+def hierarchy(spark: SparkSession, links: DataFrame, top: str, max_depth: int = 64, max_instances: int | None = 10_000) -> DataFrame:
     """The instance tree below ``top``: (depth, module, instance, path, recursive), parents before children.
 
     A module that is its own ancestor is listed once more, marked, and not entered.
@@ -98,7 +98,7 @@ def hierarchy(spark: SparkSession, links: DataFrame, top: str, max_depth: int =
         level = materialize(inner.select((F.col("depth") + 1).alias("depth"), F.col("dst").alias("module"), step.instance, F.concat("steps", F.array(step.instance)).alias("steps"), above.alias("above"), F.array_contains(above, F.col("dst")).alias("recursive")), "hierarchy")
         k = level.count()
         n += k
-        if n > max_instances:
+        if max_instances is not None and n > max_instances:
             raise ValueError(f"the hierarchy has more than {max_instances} instances")
         if not k:
             break
@@ -127,8 +127,44 @@ def escaped(text):
     return text
 
 
+def counts(reached: DataFrame, tree: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: modules with instances of their own, modules reached, and instances of the hierarchy."""
+    return links.agg(F.count_distinct("src").alias("definitions")).crossJoin(reached.agg(F.count_distinct("node").alias("reachable"))).crossJoin(tree.agg(F.count(F.lit(1)).alias("instances")))  # three single rows
+
+
+def focus_cones(links: DataFrame, focus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cones (root, node) of the (root)s that the graph knows, and the roots it does not."""
+    known = links.select(F.col("src").alias("root")).unionByName(links.where("dst IS NOT NULL").select(F.col("dst").alias("root"))).distinct()
+    return reachable(links, focus.join(known, "root", "left_semi")), focus.select("root").distinct().join(known, "root", "left_anti")
+
+
+def hierarchy_lines(tree: DataFrame, form: str = "mermaid") -> DataFrame:
+    """(steps, line): an instance tree as the lines of a Mermaid or DOT text, parents before children; a node is named by its path."""
+    name = F.concat(F.lit("n_"), F.substring(F.sha2("path", 256), 1, 16))
+    parent = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
+    above = F.when(parent != "", F.concat(F.lit("n_"), F.substring(F.sha2(parent, 256), 1, 16)))
+    said = F.concat(escaped(F.col("instance")), F.when(F.col("instance") != F.col("module"), F.concat(F.lit(": "), escaped(F.col("module")))).otherwise(""), F.when(F.col("recursive"), " (recursive)").otherwise(""))
+    if form == "dot":
+        line = F.concat(F.lit("  "), name, F.lit(' [label="'), said, F.lit('"];'), F.when(above.isNotNull(), F.concat(F.lit(" "), above, F.lit(" -> "), name, F.lit(";"))).otherwise(""))
+    else:
+        line = F.concat(F.lit("  "), F.when(above.isNotNull(), F.concat(above, F.lit(" --> "))).otherwise(""), name, F.lit('["'), said, F.lit('"]'))
+    return tree.select("path", line.alias("line"))
+
+
+def manifest(artifacts: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """(name, title, content) to the manifest's rows: size, hash and index line of each file; with the (name)s of a previous manifest also those that it owned and that are gone, to be deleted."""
+    own = artifacts.select("name", F.lit("write").alias("action"), F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2(F.col("content").cast("binary"), 256).alias("sha256"), F.concat(F.lit("- ["), "title", F.lit("]("), "name", F.lit(")")).alias("index_line"))
+    if previous is None:
+        return own
+    safe = previous.where(~F.col("name").rlike(r"[/\\\\]") & ~F.col("name").isin("", ".", ".."))  # only names within the folder
+    gone = safe.select("name").distinct().join(artifacts, "name", "left_anti")
+    return own.unionByName(gone.select("name", F.lit("delete").alias("action"), F.lit(None).cast("bigint").alias("n_bytes"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("index_line")))
+
+
 def dot(deps: DataFrame) -> DataFrame:
-    """One row with the dependency graph as DOT text."""
+    """(part, line): the dependency graph as the lines of a DOT text, in order of part and line."""
     quoted = lambda c: F.concat(F.lit('"'), escaped(F.col(c)), F.lit('"'))
     line = F.concat(F.lit("  "), quoted("src"), F.lit(" -> "), quoted("dst"), F.lit(' [label="'), F.array_join(F.transform("instances", escaped), "\\n"), F.lit('"];'))
-    return deps.agg(F.concat_ws("\n", F.lit("digraph modules {"), F.array_sort(F.collect_list(line)), F.lit("}")).alias("dot"))
+    edge = F.array(F.lit("digraph modules {"), F.lit("}"))
+    ends = deps.sparkSession.range(1).select(F.posexplode(edge).alias("part", "line")).select((F.col("part") * 2).alias("part"), "line")
+    return ends.unionByName(deps.select(F.lit(1).alias("part"), line.alias("line")))

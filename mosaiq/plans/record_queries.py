@@ -39,7 +39,48 @@ def graph_reachability(spark, sf):
 @query(f"""WITH RECURSIVE {i.LINKS}, dl AS (SELECT DISTINCT * FROM lk), h(depth, module, instance, path, above, recursive) AS (SELECT 0, 'world', 'world', 'world', []::VARCHAR[], false
   UNION ALL SELECT depth + 1, dl.dst, dl.instance, path || '.' || dl.instance, list_append(above, module), list_contains(list_append(above, module), dl.dst) FROM h JOIN dl ON dl.src = h.module WHERE NOT recursive AND depth < 64) SELECT CAST(depth AS INT) AS depth, module, instance, path, recursive FROM h""")
 def graph_hierarchy(spark, sf):
-    return graph.hierarchy(spark, i.links(spark, sf), "world")
+    return graph.hierarchy(spark, i.links(spark, sf), "world", max_instances=None)
+
+
+HIERARCHY = SQL["graph_hierarchy"].rpartition(" SELECT CAST(depth")[0]
+NAME = "'n_' || left(sha256({p}), 16)"
+PARENT = "regexp_extract(path, '^(.*)\\.[^.]*$', 1)"
+
+
+def _tree(spark, sf):
+    return graph.hierarchy(spark, i.links(spark, sf), "world", max_instances=None)
+
+
+@query(HIERARCHY + f" SELECT path, '  ' || CASE WHEN depth > 0 THEN {NAME.format(p=PARENT)} || ' --> ' ELSE '' END || {NAME.format(p='path')} || '[\"' || instance || CASE WHEN instance <> module THEN ': ' || module ELSE '' END || CASE WHEN recursive THEN ' (recursive)' ELSE '' END || '\"]' AS line FROM h")
+def hierarchy_mermaid(spark, sf):
+    return graph.hierarchy_lines(_tree(spark, sf))
+
+
+@query(HIERARCHY + f" SELECT path, '  ' || {NAME.format(p='path')} || ' [label=\"' || instance || CASE WHEN instance <> module THEN ': ' || module ELSE '' END || CASE WHEN recursive THEN ' (recursive)' ELSE '' END || '\"];' || CASE WHEN depth > 0 THEN ' ' || {NAME.format(p=PARENT)} || ' -> ' || {NAME.format(p='path')} || ';' ELSE '' END AS line FROM h")
+def hierarchy_dot(spark, sf):
+    return graph.hierarchy_lines(_tree(spark, sf), "dot")
+
+
+@query(HIERARCHY + ", rc(node) AS (SELECT 'world' UNION SELECT dst FROM rc JOIN lk ON src = node) SELECT (SELECT count(DISTINCT src) FROM lk) AS definitions, (SELECT count(*) FROM rc) AS reachable, (SELECT count(*) FROM h) AS instances")
+def graph_counts(spark, sf):
+    links = i.links(spark, sf)
+    return graph.counts(graph.reachable(links, roots(spark).where("root = 'world'")), _tree(spark, sf), links)
+
+
+@query("SELECT * FROM (VALUES ('absent')) v(root)")
+def missing_focus(spark, sf):
+    return graph.focus_cones(i.links(spark, sf), roots(spark))[1]
+
+
+@query("SELECT 'page' || page_id || '.html' AS name, 'write' AS action, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS sha256, '- [' || url || '](page' || page_id || '.html)' AS index_line FROM pages UNION ALL SELECT 'page' || (page_id + n) || '.html', 'delete', NULL, NULL, NULL FROM pages, (SELECT max(page_id) + 1 AS n FROM pages) WHERE page_id < 5")
+def artifact_manifest(spark, sf):
+    """Files with their index lines, and those that only a previous manifest names; its other names lie outside the folder."""
+    p = i.table(spark, sf, "pages")
+    name = lambda k: F.concat(F.lit("page"), k, F.lit(".html"))
+    now = p.select(name(F.col("page_id")).alias("name"), F.col("url").alias("title"), F.col("html").alias("content"))
+    n = p.agg((F.max("page_id") + 1).alias("n"))
+    old = p.crossJoin(F.broadcast(n)).select(F.explode(F.array(name(F.col("page_id")), F.when(F.col("page_id") < 5, name(F.col("page_id") + F.col("n"))).otherwise("../x"))).alias("name"))  # one row
+    return graph.manifest(now, old)
 
 
 @query(REACH + ", sel AS (SELECT node FROM rc WHERE root = 'n3') SELECT src, dst, array_to_string(list_sort(list(instance)), ',') AS instances, CAST(count(*) AS BIGINT) AS n FROM lk WHERE src IN (SELECT node FROM sel) AND dst IN (SELECT node FROM sel) GROUP BY 1, 2")
@@ -49,7 +90,7 @@ def graph_dependencies(spark, sf):
     return graph.dependencies(links, cone).select("src", "dst", F.array_join("instances", ",").alias("instances"), F.size("instances").cast("bigint").alias("n"))
 
 
-@query(f"WITH {i.LINKS} SELECT 'digraph modules {{' || chr(10) || string_agg(line, chr(10) ORDER BY line) || chr(10) || '}}' AS dot FROM (SELECT '  \"' || src || '\" -> \"' || dst || '\" [label=\"' || array_to_string(list_sort(list(instance)), '\\n') || '\"];' AS line FROM lk GROUP BY src, dst)")
+@query(f"WITH {i.LINKS} SELECT 0 AS part, 'digraph modules {{' AS line UNION ALL SELECT 2, '}}' UNION ALL SELECT 1, line FROM (SELECT '  \"' || src || '\" -> \"' || dst || '\" [label=\"' || array_to_string(list_sort(list(instance)), '\\n') || '\"];' AS line FROM lk GROUP BY src, dst)")
 def graph_dot(spark, sf):
     return graph.dot(graph.dependencies(i.links(spark, sf)))
 
@@ -201,6 +242,55 @@ def register_words(spark, sf):
     return out.groupBy(out.columns).agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("SELECT l_orderkey, l_linenumber, w & 1 > 0 AS start, w & 2 > 0 AS clear, w & 4 > 0 AS subsample, w & 8 > 0 AS jfif, count(*) AS n FROM (SELECT *, l_partkey % 32 AS w FROM lineitem) GROUP BY ALL")
+def control_flags(spark, sf):
+    flags = words.control_flags(F.col("l_partkey") % 32)
+    out = i.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in flags.items()])
+    return out.groupBy(out.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN k < 5 THEN v END AS clock_period_ns, CASE WHEN k IN (1, 2, 3, 4) THEN round(1000.0 / v, 9) END AS clock_frequency_mhz, k < 5 AS clock_period_finite, k IN (1, 2, 4, 5) AS clock_period_positive, k IN (1, 2, 3, 4) AS clock_frequency_finite, k IN (1, 2, 4) AS clock_frequency_positive, k IN (1, 2, 4) AS period_frequency_match, k IN (1, 2, 4) AS valid
+  FROM (SELECT o_orderkey, o_orderkey % 7 AS k, CASE o_orderkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 3 THEN -2.5 ELSE o_totalprice + 1 END::DOUBLE AS v FROM orders)""")
+def clock_records(spark, sf):
+    """Periods, also zero, negative, infinite and not a number, with their frequencies."""
+    k = F.col("o_orderkey") % 7
+    v = F.when(k == 0, 0.0).when(k == 1, 10.0).when(k == 3, -2.5).when(k == 5, float("inf")).when(k == 6, float("nan")).otherwise(F.col("o_totalprice") + 1)
+    r = i.table(spark, sf, "orders").select("o_orderkey", words.clock_record(v).alias("r")).select("o_orderkey", "r.*")
+    return r.withColumn("clock_frequency_mhz", F.round("clock_frequency_mhz", 9))
+
+
+@query("SELECT user_id, bool_and(event_id % 4 = 0) AS all_idle, bool_or(event_id % 4 = 1) AS any_busy, bool_or(event_id % 8 = 2) AS any_protocol_error FROM events GROUP BY 1")
+def status_roll_ups(spark, sf):
+    k = F.col("event_id") % 4
+    e = i.table(spark, sf, "events").select("user_id", F.when(k == 0, "idle").when(k == 1, "busy").otherwise("protocol_error").alias("text"), F.when(k != 3, k == 1).alias("busy"), (F.col("event_id") % 8 == 2).alias("protocol_error"))
+    return evidence.status_roll_up(e, ["user_id"])
+
+
+@query("SELECT field, CAST(count(v) AS BIGINT) AS n, CAST(sum(v) AS BIGINT) AS total FROM (UNPIVOT (SELECT l_partkey AS part, l_suppkey AS supplier, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem) ON part, supplier, quantity INTO NAME field VALUE v) GROUP BY 1")
+def record_sums(spark, sf):
+    rows = i.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_quantity").cast("bigint").alias("quantity"))
+    return evidence.sums_by_field(rows, ["part", "supplier", "quantity"])
+
+
+@query(f"WITH {GATES}, s AS (SELECT CAST(split_part(path, '/', 2) AS BIGINT) AS supplier, split_part(path, '/', 1) || ':' || rule AS rule, passed FROM gt), g AS (SELECT * FROM (VALUES ('setup:wns', 'timing'), ('hold:wns', 'timing'), ('hold:whs', 'timing'), ('utilization:utilization', 'area'), ('floorplan:floorplan', 'area'), ('power:power', 'power')) v(rule, grp)), d AS (SELECT DISTINCT supplier FROM s) SELECT d.supplier, grp, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (coalesce(passed, false)) AS BIGINT) AS n_passed, CAST(count(*) FILTER (NOT coalesce(passed, false)) AS BIGINT) AS n_failed, coalesce(string_agg(g.rule, ',' ORDER BY g.rule) FILTER (NOT coalesce(passed, false)), '') AS failed, bool_and(coalesce(passed, false)) AS complete FROM d CROSS JOIN g LEFT JOIN s ON s.supplier = d.supplier AND s.rule = g.rule GROUP BY 1, 2")
+def named_checks(spark, sf):
+    """Named checks in groups for each supplier; a named check without a row has failed."""
+    rows = reports.gates(report_rows(spark, sf)).select(F.split_part("path", F.lit("/"), F.lit(2)).cast("bigint").alias("supplier"), F.concat_ws(":", F.split_part("path", F.lit("/"), F.lit(1)), "rule").alias("rule"), "passed")
+    groups = spark.createDataFrame([("setup:wns", "timing"), ("hold:wns", "timing"), ("hold:whs", "timing"), ("utilization:utilization", "area"), ("floorplan:floorplan", "area"), ("power:power", "power")], "rule string, grp string")
+    return evidence.grouped_checks(rows, groups, ["supplier"]).withColumn("failed", F.array_join("failed", ","))
+
+
+@query("""WITH h AS (SELECT s_suppkey AS host, s_suppkey % 2 = 0 AS win, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 3 END AS mk, s_suppkey % 5 AS ve FROM supplier)
+  SELECT host, rule, kind FROM (SELECT host, 'no_make' AS rule, 'problem' AS kind FROM h WHERE mk IS NULL UNION ALL SELECT host, 'no_verilator', 'problem' FROM h WHERE ve = 0 UNION ALL SELECT host, 'unix_make_on_windows', 'problem' FROM h WHERE win AND mk = 1
+  UNION ALL SELECT host, 'unix_verilator_on_windows', 'warning' FROM h WHERE win AND ve = 1 UNION ALL SELECT host, 'cmd_shell_override', 'warning' FROM h WHERE win AND mk = 1 AND host % 7 = 0)""")
+def toolchain_rules(spark, sf):
+    k = F.col("s_suppkey")
+    make = F.when(k % 3 == 1, "C:\\msys64\\usr\\bin\\make.exe").when(k % 3 == 2, "/opt/make")
+    verilator = F.when(k % 5 == 1, "c:/msys64/mingw64/bin/verilator.exe").when(k % 5 != 0, "/opt/verilator")
+    rows = i.table(spark, sf, "supplier").select(k.alias("host"), F.when(k % 2 == 0, "nt").otherwise("posix").alias("os"), make.alias("make"), F.lit("C:/msys64/usr/bin/sh.exe").alias("sh"), verilator.alias("verilator"), F.when(k % 7 == 0, "C:\\Windows\\cmd.exe").alias("shell"), F.lit(None).cast("string").alias("makeshell"))
+    return evidence.toolchain(rows)
+
+
 @query("""SELECT CAST(k AS INT) AS code, CASE WHEN k BETWEEN 208 AND 215 THEN 'RST' || (k - 208) WHEN k BETWEEN 224 AND 239 THEN 'APP' || (k - 224) WHEN k = 216 THEN 'SOI' WHEN k = 217 THEN 'EOI' WHEN k = 219 THEN 'DQT' WHEN k = 221 THEN 'DRI' WHEN k = 192 THEN 'SOF0' WHEN k = 196 THEN 'DHT' WHEN k = 218 THEN 'SOS' ELSE '0xFF' || lpad(upper(to_hex(k)), 2, '0') END AS name FROM range(256) t(k)""")
 def marker_names(spark, sf):
     return spark.range(256).select(F.col("id").cast("int").alias("code"), words.marker_name(F.col("id").cast("int")).alias("name"))

@@ -90,3 +90,27 @@ def frames_in_flight(spark, sf):
 def register_values(spark, sf):
     e = i.table(spark, sf, "events").select((F.col("user_id") % 10).alias("device"), F.col("event_id").alias("seq"), (F.col("event_id") % 4 * 4).cast("int").alias("addr"), (F.col("event_id") * 2654435761 % 4294967296).alias("data"), (F.col("event_id") % 16).cast("int").alias("strobe"))
     return framing.registers(e, [0, 4, 8])
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 13 = 0 THEN 'clear' WHEN event_id % 3 = 2 THEN 'end' ELSE 'start' END AS kind, event_id // 4 % 2 AS config FROM events),
+  s AS (SELECT user_id, event_id, i, kind <> 'clear' AS started, true AS admitted, CASE WHEN kind = 'start' THEN 1 ELSE 0 END AS n, CASE WHEN kind = 'start' THEN config END AS held FROM e WHERE i = 1
+    UNION ALL SELECT e.user_id, e.event_id, e.i, true, kind <> 'start' OR n = 0 OR (config = held AND n < 3), CASE WHEN kind = 'clear' THEN 0 WHEN kind = 'end' THEN greatest(0, n - 1) WHEN n = 0 OR (config = held AND n < 3) THEN n + 1 ELSE n END, CASE WHEN kind = 'start' AND (n = 0 OR (config = held AND n < 3)) THEN config ELSE held END FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+  SELECT CAST(user_id AS BIGINT) AS stream_id, event_id AS seq, admitted, CAST(n AS INT) AS in_flight FROM s""")
+def overlap_admission(spark, sf):
+    k = F.col("event_id")
+    kind = F.when(k % 13 == 0, "clear").when(k % 3 == 2, "end").otherwise("start")
+    events = i.table(spark, sf, "events").select(F.col("user_id").cast("bigint").alias("stream_id"), k.alias("seq"), kind.alias("kind"), F.floor(k / 4).bitwiseAND(1).cast("int").alias("config"))
+    return framing.admitted(events)
+
+
+@query(f"""WITH {i.PIXELS}, {i.FRAMES}, s AS (SELECT px.frame_id, y // sd AS stripe, width * least(sd, height - y // sd * sd) AS due, y FROM px JOIN (SELECT *, CASE WHEN subsample THEN 16 ELSE 8 END AS sd FROM fr) f ON f.frame_id = px.frame_id AND x < width AND y < height WHERE (px.frame_id + x + y) % 97 <> 0)
+  SELECT frame_id, CAST(stripe AS BIGINT) AS stripe, CAST(count(*) AS BIGINT) AS pixels, count(*) = due AS complete, CAST(max(y) AS BIGINT) AS last_y FROM s GROUP BY 1, 2, due""")
+def stripe_completion(spark, sf):
+    """Stripes of the frames, some of which lack a pixel."""
+    return framing.stripes(i.pixels(spark, sf).where((F.col("frame_id") + F.col("x") + F.col("y")) % 97 != 0), i.frames(spark, sf))
+
+
+@query("SELECT event_id, CAST(n % w AS INT) AS x, CAST(n // w AS INT) AS y FROM (SELECT event_id, user_id % 7 + 1 AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)")
+def stream_coordinates(spark, sf):
+    e = i.table(spark, sf, "events").select("user_id", "event_id", (F.col("user_id") % 7 + 1).alias("width"))
+    return framing.coordinates(e, "user_id", "event_id", "width").select("event_id", "x", "y")

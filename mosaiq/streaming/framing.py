@@ -12,9 +12,12 @@ streaming operator both apply it, so they cannot differ.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -65,18 +68,38 @@ def _events(rows: pd.DataFrame) -> Iterator[tuple]:
 
 
 NAMES = [c.split()[0] for c in FRAME.split(", ")]
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
 
 
-def frames(events: DataFrame) -> DataFrame:
-    """Batch: the frames of all streams. Streams are independent; one stream is sequential by nature."""
+def scanned(rows: DataFrame, key: str, order: str, columns: list[str], step: Callable, start: tuple, schema: str) -> DataFrame:
+    """A sequential fold of each key's rows in order: ``step(state, rows)`` gives the next state and output tuples.
+
+    Keys are dealt to partitions and sorted there, so state is carried from row to row
+    and from batch to batch; a task holds one batch, whatever the length of a stream.
+    The output has the key as its first column.
+    """
+    fields = pa.schema([(c.split()[0], ARROW[c.split()[1]]) for c in schema.split(", ")])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq", kind="stable")
-        _, out = fold(START, _events(part))
-        stream = part["stream_id"].iloc[0]
-        return pd.DataFrame([(stream, *f) for f in out], columns=NAMES)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, start
+        for batch in it:
+            keys = batch.column(0).to_numpy()
+            rows = list(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True))
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+            out = []
+            for a, b in pairwise(cuts):
+                if keys[a] != now:
+                    now, state = keys[a], start
+                state, found = step(state, rows[a:b])
+                out += [(int(now), *f) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(fields)], schema=fields)
 
-    return events.groupBy("stream_id").applyInPandas(run, FRAME)
+    return rows.repartition(key).sortWithinPartitions(key, order).select(key, *columns).mapInArrow(run, schema)
+
+
+def frames(events: DataFrame) -> DataFrame:
+    """Batch: the frames of all streams. Streams are independent; one stream is sequential by nature."""
+    return scanned(events, "stream_id", "seq", ["kind", "data", "keep", "last", "width", "height"], fold, START, FRAME)
 
 
 def frames_stream(events: DataFrame) -> DataFrame:
@@ -117,15 +140,53 @@ def in_flight(events: DataFrame, key: str, order: str, delta: str) -> DataFrame:
     return events.withColumn("in_flight", F.sum(delta).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def registers(writes: DataFrame, mapped: list[int]) -> DataFrame:
-    """(device, seq, addr, data, strobe) writes to each register's current value; unmapped writes are ignored."""
+ADMITTED = "stream_id bigint, seq bigint, admitted boolean, in_flight int"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        now = dict.fromkeys(mapped, 0)
-        for addr, data, strobe in part.sort_values("seq")[["addr", "data", "strobe"]].itertuples(index=False):
-            if addr in now:
-                mask = sum(255 << 8 * k for k in range(4) if int(strobe) >> k & 1)
-                now[addr] = (now[addr] & ~mask & 0xFFFFFFFF) | (int(data) & mask)
-        return pd.DataFrame({"device": part["device"].iloc[0], "addr": list(now), "value": list(now.values())})
 
-    return writes.groupBy("device").applyInPandas(run, "device bigint, addr int, value bigint")
+def admission(state: tuple, events: Iterable[tuple], limit: int = 3) -> tuple[tuple, list[tuple]]:
+    """Events (seq, kind, config) from a state (frames in flight, their config): a start is let in beside others only under their own config and below ``limit``, else it is held back; an end frees a place; a clear frees all."""
+    n, held = state
+    out = []
+    for seq, kind, config in events:
+        ok = kind != "start" or n == 0 or (config == held and n < limit)
+        if kind == "start" and ok:
+            n, held = n + 1, config
+        elif kind == "end":
+            n = max(0, n - 1)
+        elif kind == "clear":
+            n = 0
+        out.append((seq, ok, n))
+    return (n, held), out
+
+
+def admitted(events: DataFrame) -> DataFrame:
+    """(stream_id, seq, kind, config) to whether each start may go on, and the frames in flight after each event."""
+    return scanned(events, "stream_id", "seq", ["seq", "kind", "config"], admission, (0, None), ADMITTED)
+
+
+def stripes(pixels: DataFrame, settings: DataFrame) -> DataFrame:
+    """(frame_id, stripe, pixels, complete, last_y): a stripe of 8 rows, or 16 with subsampling, is emitted once all of its pixels are there."""
+    rows = F.when(F.col("subsample"), 16).otherwise(8)
+    inside = pixels.join(settings.select("frame_id", "width", "height", rows.alias("_rows")), "frame_id").where("x < width AND y < height")
+    counted = inside.groupBy("frame_id", F.floor(F.col("y") / F.col("_rows")).alias("stripe"), "width", "height", "_rows").agg(F.count(F.lit(1)).alias("pixels"), F.max("y").cast("bigint").alias("last_y"))
+    due = F.col("width") * F.least(F.col("_rows"), F.col("height") - F.col("stripe") * F.col("_rows"))
+    return counted.select("frame_id", "stripe", "pixels", (F.col("pixels") == due).alias("complete"), "last_y")
+
+
+def coordinates(words: DataFrame, key: str, order: str, width: str) -> DataFrame:
+    """Add x and y to words in raster order: a line wraps at the frame's width."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return words.withColumn("_at", at).withColumns({"x": (F.col("_at") % F.col(width)).cast("int"), "y": F.floor(F.col("_at") / F.col(width)).cast("int")}).drop("_at")
+
+
+def registers(writes: DataFrame, mapped: list[int]) -> DataFrame:
+    """(device, seq, addr, data, strobe) writes to each register's current value; unmapped writes are ignored.
+
+    Each byte is that of its last write whose strobe bit is set, which aggregates before the exchange.
+    """
+    lane = lambda k: F.col("strobe").bitwiseAND(1 << k) != 0
+    last = lambda k: F.max_by(F.when(lane(k), F.shiftrightunsigned("data", 8 * k).bitwiseAND(255)), F.when(lane(k), F.col("seq")))
+    value = sum((F.coalesce(last(k), F.lit(0)).cast("bigint") * (1 << 8 * k) for k in range(1, 4)), F.coalesce(last(0), F.lit(0)).cast("bigint"))
+    now = writes.where(F.col("addr").isin(*mapped)).groupBy("device", "addr").agg(value.alias("value"))
+    dense = writes.select("device").distinct().select("device", F.explode(F.array(*[F.lit(a) for a in mapped])).alias("addr"))
+    return dense.join(now, ["device", "addr"], "left").select("device", "addr", F.coalesce("value", F.lit(0)).alias("value"))

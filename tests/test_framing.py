@@ -63,6 +63,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and len(want) > 100
 
 
+def test_overlap_is_admitted_under_one_config_and_a_limit():
+    def go(*events):
+        return [(ok, n) for _, ok, n in framing.admission((0, None), [(k, *e) for k, e in enumerate(events)])[1]]
+
+    start, end, clear = ("start", 1), ("end", None), ("clear", None)
+    assert go(start, start, start, start, end, start) == [(True, 1), (True, 2), (True, 3), (False, 3), (True, 2), (True, 3)]
+    assert go(start, ("start", 2), end, ("start", 2), end, end) == [(True, 1), (False, 1), (True, 0), (True, 1), (True, 0), (True, 0)]
+    assert go(start, start, clear, ("start", 2)) == [(True, 1), (True, 2), (True, 0), (True, 1)]
+
+
+def test_streams_longer_than_a_batch(spark):
+    """State goes on from batch to batch and starts afresh with the next stream."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [(s, 0, *config(2, 2)) for s in range(5)] + [(s, k, WORD, k, 7, k % 4 == 0, 0, 0) for s in range(5) for k in range(1, 41)]
+        out = framing.frames(spark.createDataFrame(rows, framing.EVENT)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == 50 and all(r.complete and r.accepted == 4 for r in out) and {r.frame for r in out} == set(range(10))
+
+
 def test_registers_ignore_unmapped_and_merge_bytes(spark):
     rows = [(1, 0, 0, 0x11223344, 15), (1, 1, 0, 0xAABBCCDD, 5), (1, 2, 99, 1, 15), (1, 3, 4, 7, 0), (2, 0, 4, 9, 1)]
     out = {(r.device, r.addr): r.value for r in framing.registers(spark.createDataFrame(rows, "device bigint, seq bigint, addr int, data bigint, strobe int"), [0, 4]).collect()}
