@@ -115,6 +115,25 @@ def facts(files: DataFrame) -> DataFrame:
     )
 
 
+def table_hashes(files: DataFrame) -> DataFrame:
+    """(path, kind, id, n_bytes, sha256) of each quantization and code table's payload."""
+    each = files.select("path", F.explode("segments").alias("s")).where(F.col("s.marker").isin(0xDB, 0xC4))
+    payload = F.col("s.payload")
+    return each.select("path", F.when(F.col("s.marker") == 0xDB, "DQT").otherwise("DHT").alias("kind"), byte(payload, 0).alias("id"), F.octet_length(payload).alias("n_bytes"), F.sha2(payload, 256).alias("sha256"))
+
+
+def expectations(frames: DataFrame) -> DataFrame:
+    """(path, width, height, quality, restart_interval, subsample, emit_jfif) to (path, record): what a stream must show, as JSON with sorted keys."""
+    side = F.when(F.col("subsample"), 16).otherwise(8)
+    count = F.ceil(F.col("width") / side) * F.ceil(F.col("height") / side)
+    interval = F.col("restart_interval")
+    restarts = F.when(interval > 0, F.floor((count - 1) / interval)).otherwise(0)
+    body = F.struct(
+        F.col("emit_jfif").cast("int").alias("app0_segments"), "height", F.when(F.col("subsample"), "4:2:0").otherwise("4:4:4").alias("mode"), "quality", "restart_interval", restarts.cast("bigint").alias("restarts"), F.lit(True).alias("standard_codes"), "width",
+    )
+    return frames.select("path", F.to_json(body).alias("record"))
+
+
 def kraft(bits: Column) -> Column:
     """Whether code counts by length fit a prefix code: the open places never run out."""
     left = F.aggregate(bits, F.struct(F.lit(1).alias("open"), F.lit(True).alias("ok")), lambda a, n: F.struct((a.open * 2 - n).alias("open"), (a.ok & (a.open * 2 - n >= 0)).alias("ok")))
