@@ -170,16 +170,114 @@ def metrics_json(counts: DataFrame, scenarios: DataFrame) -> DataFrame:
     return nested.join(scenarios.select("scenario", "frame_cycles"), "scenario").select("scenario", F.to_json(F.struct(boundaries.alias("boundaries"), "frame_cycles", F.col("scenario").alias("name"), F.lit(3).alias("schema_version"))).alias("json"))
 
 
-def timeline(samples: DataFrame, fires: DataFrame, clock_hz: int = 100_000_000) -> DataFrame:
-    """Trace-viewer events (scenario, track, name, ts, dur, json), times in microseconds."""
+# Units of the frame's metrics, and the trace viewer's colours.
+FRAME_UNITS = {"frame_cycles": "cycles", "average_frame_cycles": "cycles/frame", "frame_time_us": "microseconds", "frames_per_second": "frames/second", "pixels_per_cycle": "pixels/cycle", "bytes_per_cycle": "bytes/cycle", "input_acceptance_cycles_per_pixel": "cycles/pixel"}
+COLORS = {"transfer": "good", "blocked": "bad", "starved": "thread_state_uninterruptible", "idle": "grey"}
+STATISTICS = ("count", "minimum", "p50", "p95", "maximum", "mean")
+
+
+def metrics_table(samples: DataFrame, phases: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """All metrics as (scenario, category, name, metric, value, text, unit): frames, boundaries, stages, phases and targets; ``text`` holds what is not a number."""
+    fires = transfers(samples)
+    gaps = intervals(fires)
+
+    def long(df: DataFrame, category: str, name: Column, metrics: dict[str, str], prefix: str = "") -> DataFrame:
+        wide = df.select("scenario", name.alias("name"), *[F.col(m).cast("double").alias(m) for m in metrics])
+        rows = wide.unpivot(["scenario", "name"], list(metrics), "metric", "value")
+        unit = F.create_map(*[F.lit(x) for kv in metrics.items() for x in kv])
+        return rows.select("scenario", F.lit(category).alias("category"), "name", F.concat(F.lit(prefix), "metric").alias("metric"), "value", F.lit(None).cast("string").alias("text"), F.element_at(unit, F.col("metric")).alias("unit"))
+
+    cycles = dict.fromkeys(STATISTICS, "cycles")
+    start = startups(fires)
+    rate = start.join(scenarios.select("scenario", "pixels"), "scenario").select("scenario", (F.col("input_span") / F.col("pixels")).alias("input_acceptance_cycles_per_pixel"))
+    frame = derived(scenarios).join(scenarios.select("scenario", "frame_cycles"), "scenario").join(rate, "scenario", "left")
+    counts = boundary_counts(samples, scenarios).withColumnRenamed("transfer_cycles", "transfers")
+    boundary = {"transfers": "transfers", **{f"{s}_cycles": "cycles" for s in STATES[1:]}, "longest_blocked_run": "cycles", "transfers_per_cycle": "transfers/cycle"}
+    stage_of = F.create_map(*[F.lit(x) for s, (first, _) in STAGES.items() for x in (first, s)])
+    starts = gaps.withColumn("stage", F.element_at(stage_of, F.col("boundary"))).where("stage IS NOT NULL")
+    blocks = block_intervals(gaps, scenarios)
+    mcus = mcu_intervals(gaps, scenarios)
+    names = {"within_row": "within_stripe_or_band", "stripe_transition": "stripe_or_band_transition", "frame_transition": "frame_transition"}
+    kinds = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)])
+    begun = {"raster_startup": "raster_startup_to_first_mcu_cycles", "encoder_startup": "encoder_startup_to_first_jpeg_byte_cycles", "entropy_startup": "encoder_startup_to_first_entropy_block_cycles"}
+    checks = target_checks(fires, scenarios)
+    none, text = F.lit(None).cast("double").alias("value"), F.col("status").alias("text")
+    said = checks.select("scenario", F.lit("target").alias("category"), F.col("target").alias("name"), F.lit("status").alias("metric"), none, text, F.lit("").alias("unit"))
+    stay = residency(phases).select("scenario", F.lit("phase").alias("category"), F.concat("machine", F.lit("_phase_cycles")).alias("name"), F.col("phase").alias("metric"), F.col("cycles").cast("double").alias("value"), F.lit(None).cast("string").alias("text"), F.lit("cycles").alias("unit"))
+    parts = [
+        long(frame, "frame", F.lit("frame"), FRAME_UNITS),
+        long(counts, "boundary", F.col("boundary"), boundary),
+        long(stage_latencies(fires), "stage", F.col("stage"), cycles, "latency_cycles."),
+        long(distribution(starts, ["scenario", "stage"], "interval"), "stage", F.col("stage"), cycles, "initiation_interval_cycles."),
+        long(start.withColumnsRenamed(begun), "phase", F.lit("startup"), dict.fromkeys(begun.values(), "cycles")),
+        long(distribution(blocks, ["scenario", "kind"], "interval"), "phase", F.concat("kind", F.lit("_block_interval_cycles")), cycles),
+        long(distribution(mcus.withColumn("kind", F.element_at(kinds, F.col("kind"))), ["scenario", "kind"], "interval"), "phase", F.concat("kind", F.lit("_mcu_interval_cycles")), cycles),
+        long(distribution(mcus.where("steady"), ["scenario"], "interval"), "phase", F.lit("steady_state_mcu_interval_cycles"), cycles),
+        stay,
+        long(checks, "target", F.col("target"), {"actual": "", "budget": "", "ratio": "ratio"}),
+        said,
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def metrics_document(table: DataFrame) -> DataFrame:
+    """(scenario, json): all metrics of a scenario as one JSON document: a list of its categories, names and metrics, in order."""
+    each = F.struct("category", "name", "metric", "value", "text", "unit")
+    rows = table.groupBy("scenario").agg(F.array_sort(F.collect_list(each)).alias("metrics"))
+    return rows.select("scenario", F.to_json(F.struct("metrics", F.col("scenario").alias("name"), F.lit(3).alias("schema_version"))).alias("json"))
+
+
+def timeline(samples: DataFrame, fires: DataFrame, phases: DataFrame, clock_hz: int = 100_000_000) -> DataFrame:
+    """Trace-viewer events (scenario, ph, tid, name, cat, cname, ts, dur, args), times in microseconds: names of processes and threads, runs of states and of phases, and latencies."""
     us = 1_000_000 / clock_hz
-    state_runs = runs(with_state(samples), ["scenario", "boundary"], "state").select("scenario", F.col("boundary").alias("track"), F.col("state").alias("name"), F.col("start"), F.col("duration"))
-    out = state_runs
+    base = len(BOUNDARIES)
+    tids = {b: k for k, b in enumerate(BOUNDARIES, 1)} | {"phase/raster": base + 1, "phase/encoder": base + 2} | {f"latency/{s}": base + 3 + k for k, s in enumerate(STAGES)}
+    tid = F.create_map(*[F.lit(x) for kv in tids.items() for x in kv])
+
+    def event(df: DataFrame, track: Column, name: Column, cat: str, color: Column, start: Column, duration: Column, args: Column) -> DataFrame:
+        return df.select("scenario", F.lit("X").alias("ph"), F.element_at(tid, track).alias("tid"), name.alias("name"), F.lit(cat).alias("cat"), color.alias("cname"), (start * us).alias("ts"), (duration * us).alias("dur"), F.to_json(args).alias("args"))
+
+    span = [F.col("start").alias("start_cycle"), F.col("duration").alias("duration_cycles")]
+    color = F.create_map(*[F.lit(x) for kv in COLORS.items() for x in kv])
+    out = event(runs(with_state(samples), ["scenario", "boundary"], "state"), F.col("boundary"), F.col("state"), "ready_valid", F.element_at(color, F.col("state")), F.col("start"), F.col("duration"), F.struct(*span, "boundary"))
+    for machine, names in (("raster", RASTER_PHASES), ("encoder", ENCODER_PHASES)):
+        field = f"{machine}_phase"
+        name = F.get(F.array(*[F.lit(n) for n in names]), F.col(field))
+        out = out.unionByName(event(runs(phases, ["scenario"], field), F.lit(f"phase/{machine}"), name, "fsm_phase", F.lit("rail_load"), F.col("start"), F.col("duration"), F.struct(*span, F.col(field).alias("phase_code"))))
     for stage, (first, second) in STAGES.items():
-        pairs = paired(fires, first, second).select("scenario", F.lit(f"{stage}_latency").alias("track"), F.concat(F.lit(f"{stage} "), F.col("i").cast("string")).alias("name"), F.col("begin").alias("start"), F.greatest(F.lit(1), "latency").alias("duration"))
-        out = out.unionByName(pairs)
-    timed = out.select("scenario", "track", "name", (F.col("start") * us).alias("ts"), (F.col("duration") * us).alias("dur"))
-    return timed.withColumn("json", F.to_json(F.struct("dur", "name", F.lit("X").alias("ph"), F.col("scenario").alias("pid"), F.col("track").alias("tid"), "ts")))
+        args = F.struct(F.col("i").alias("transaction"), F.col("begin").alias("start_cycle"), F.col("end").alias("end_cycle"), F.col("latency").alias("latency_cycles"))
+        out = out.unionByName(event(paired(fires, first, second), F.lit(f"latency/{stage}"), F.concat(F.lit(f"{stage} #"), F.col("i").cast("string")), "transaction_latency", F.lit("rail_response"), F.col("begin"), F.greatest(F.lit(1), "latency"), args))
+    labels = samples.sparkSession.createDataFrame([(0, None), *[(k, t) for t, k in tids.items()]], "tid int, label string")
+    meta = samples.select("scenario").distinct().crossJoin(F.broadcast(labels))  # as many threads as boundaries, machines and stages
+    none = lambda t: F.lit(None).cast(t)
+    return out.unionByName(meta.select("scenario", F.lit("M").alias("ph"), "tid", F.when(F.col("tid") == 0, "process_name").otherwise("thread_name").alias("name"), none("string").alias("cat"), none("string").alias("cname"), none("double").alias("ts"), none("double").alias("dur"), F.to_json(F.struct(F.coalesce("label", "scenario").alias("name"))).alias("args")))
+
+
+# Fill and stroke of a node by its status, and the boundary that shows a target's status.
+STATUS_COLORS = {"over": ("#fee2e2", "#dc2626"), "near": ("#fef3c7", "#d97706"), "within": ("#dcfce7", "#16a34a"), "unknown": ("#f1f5f9", "#94a3b8"), "neutral": ("#f8fafc", "#64748b")}
+TARGET_AT = {"input_cycles_per_pixel": "rgb_input", "block_transform_max_ii": "transform_input", "steady_state_mcu_mean_ii": "mcu_output"}
+
+
+def pipeline_dot(counts: DataFrame, checks: DataFrame) -> DataFrame:
+    """(scenario, rank, line): a DOT text of each scenario's boundaries, coloured by the status of the target that they show."""
+    at = F.create_map(*[F.lit(x) for kv in TARGET_AT.items() for x in kv])
+    shown = checks.select("scenario", F.element_at(at, F.col("target")).alias("boundary"), "status")
+    fill, stroke = (F.create_map(*[F.lit(x) for k, v in STATUS_COLORS.items() for x in (k, v[n])]) for n in (0, 1))
+    status = F.coalesce("status", F.lit("neutral"))
+    node = F.concat(F.lit("  b"), F.col("rank").cast("string"), F.lit(' [label="'), "boundary", F.lit("\\n"), F.col("transfer_cycles").cast("string"), F.lit(' transfers", fillcolor="'), F.element_at(fill, status), F.lit('", color="'), F.element_at(stroke, status), F.lit('"];'))
+    edge = F.when(F.col("rank") > 0, F.concat(F.lit(" b"), (F.col("rank") - 1).cast("string"), F.lit(" -> b"), F.col("rank").cast("string"), F.lit(";"))).otherwise("")
+    rows = counts.join(shown, ["scenario", "boundary"], "left").select("scenario", "rank", F.concat(node, edge).alias("line"))
+    ends = counts.select("scenario").distinct().select("scenario", F.explode(F.array(F.struct(F.lit(-1).alias("rank"), F.lit("digraph performance_pipeline { rankdir=LR; node [shape=box, style=filled];").alias("line")), F.struct(F.lit(1 << 20).alias("rank"), F.lit("}").alias("line")))).alias("e")).select("scenario", "e.*")
+    return ends.unionByName(rows)
+
+
+def requested(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the (scenario)s asked for, and the scenarios asked for that have none."""
+    names = wanted.select("scenario").distinct()
+    return rows.join(names, "scenario", "left_semi"), names.join(rows, "scenario", "left_anti")
 
 
 def pipeline_text(counts: DataFrame) -> DataFrame:

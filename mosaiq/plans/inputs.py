@@ -73,6 +73,14 @@ CAPTURE = """cap AS (SELECT CAST(user_id % 20 AS VARCHAR) AS scenario, event_id
   fires AS (SELECT scenario, boundary, cycle, row_number() OVER (PARTITION BY scenario, boundary ORDER BY cycle) - 1 AS i FROM cap WHERE valid = 1 AND ready = 1)"""
 
 
+def capture_phases(spark: SparkSession, sf: str) -> DataFrame:
+    """A phase sample for each event of a capture's scenarios."""
+    return table(spark, sf, "events").select((F.col("user_id") % 20).cast("string").alias("scenario"), F.col("event_id").alias("cycle"), (F.col("event_id") % 4).cast("int").alias("raster_phase"), (F.col("event_id") % 11).cast("int").alias("encoder_phase"))
+
+
+PHASES = "cph AS (SELECT CAST(user_id % 20 AS VARCHAR) AS scenario, event_id AS cycle, event_id % 4 AS raster_phase, event_id % 11 AS encoder_phase FROM events)"
+
+
 def scenarios(spark: SparkSession, sf: str) -> DataFrame:
     rows = renamed_traces(spark, sf).groupBy("scenario").agg(F.min("cycle").alias("first_input_cycle"), F.max("cycle").alias("last_output_cycle"))
     k = F.col("scenario").cast("int")

@@ -143,11 +143,85 @@ def target_checks(spark, sf):
     return rounded(trace.target_checks(trace.transfers(i.renamed_traces(spark, sf)), i.scenarios(spark, sf)), "actual", "ratio")
 
 
-@query(f"""WITH {i.CAPTURE}, cs AS (SELECT *, CASE WHEN valid = 1 AND ready = 1 THEN 'transfer' ELSE 'blocked' END AS state FROM cap), rn AS (SELECT scenario, boundary, state, min(cycle) AS s, count(*) AS n FROM (SELECT *, cycle - row_number() OVER (PARTITION BY scenario, boundary, state ORDER BY cycle) AS g FROM cs) GROUP BY scenario, boundary, state, g)
-  SELECT scenario, boundary AS track, state AS name, round(CAST(s AS DOUBLE) * 0.01, 6) AS ts, round(CAST(n AS DOUBLE) * 0.01, 6) AS dur FROM rn UNION ALL SELECT x.scenario, stage || '_latency', stage || ' ' || x.i, round(CAST(x.cycle AS DOUBLE) * 0.01, 6), round(CAST(greatest(1, y.cycle - x.cycle) AS DOUBLE) * 0.01, 6) FROM {STAGE} JOIN fires x ON x.boundary = a JOIN fires y ON y.boundary = b AND y.scenario = x.scenario AND y.i = x.i""")
+TRACKS = {b: k for k, b in enumerate(captures.BOUNDARIES, 1)}
+PHASE_RUNS = """SELECT scenario, {m}_phase AS code, min(cycle) AS s, count(*) AS n FROM (SELECT *, cycle - row_number() OVER (PARTITION BY scenario, {m}_phase ORDER BY cycle) AS g FROM cph) GROUP BY scenario, {m}_phase, g"""
+
+
+def _phase_events(machine: str, names: tuple[str, ...], tid: int) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""SELECT scenario, 'X' AS ph, {tid} AS tid, ([{listed}])[code + 1] AS name, 'fsm_phase' AS cat, 'rail_load' AS cname, round(s * 0.01, 6) AS ts, round(n * 0.01, 6) AS dur, '{{"start_cycle":' || s || ',"duration_cycles":' || n || ',"phase_code":' || code || '}}' AS args FROM ({PHASE_RUNS.format(m=machine)})"""
+
+
+@query(f"""WITH {i.CAPTURE}, {i.PHASES}, cs AS (SELECT *, CASE WHEN valid = 1 AND ready = 1 THEN 'transfer' ELSE 'blocked' END AS state FROM cap), rn AS (SELECT scenario, boundary, state, min(cycle) AS s, count(*) AS n FROM (SELECT *, cycle - row_number() OVER (PARTITION BY scenario, boundary, state ORDER BY cycle) AS g FROM cs) GROUP BY scenario, boundary, state, g),
+  tn AS (SELECT * FROM (VALUES (0, NULL), {", ".join(f"({k}, '{b}')" for b, k in TRACKS.items())}, (15, 'phase/raster'), (16, 'phase/encoder'), (17, 'latency/dct'), (18, 'latency/quantize'), (19, 'latency/zigzag'), (20, 'latency/block_transform')) v(tid, label)),
+  al AS (SELECT scenario, 'X' AS ph, tid, state AS name, 'ready_valid' AS cat, CASE state WHEN 'transfer' THEN 'good' ELSE 'bad' END AS cname, round(s * 0.01, 6) AS ts, round(n * 0.01, 6) AS dur, '{{"start_cycle":' || s || ',"duration_cycles":' || n || ',"boundary":"' || boundary || '"}}' AS args FROM rn JOIN tn ON label = boundary
+  UNION ALL {_phase_events('raster', captures.RASTER_PHASES, 15)} UNION ALL {_phase_events('encoder', captures.ENCODER_PHASES, 16)}
+  UNION ALL SELECT x.scenario, 'X', tid, stage || ' #' || x.i, 'transaction_latency', 'rail_response', round(x.cycle * 0.01, 6), round(greatest(1, y.cycle - x.cycle) * 0.01, 6), '{{"transaction":' || x.i || ',"start_cycle":' || x.cycle || ',"end_cycle":' || y.cycle || ',"latency_cycles":' || (y.cycle - x.cycle) || '}}' FROM {STAGE} JOIN tn ON label = 'latency/' || stage JOIN fires x ON x.boundary = a JOIN fires y ON y.boundary = b AND y.scenario = x.scenario AND y.i = x.i
+  UNION ALL SELECT scenario, 'M', tid, CASE WHEN tid = 0 THEN 'process_name' ELSE 'thread_name' END, NULL, NULL, NULL, NULL, '{{"name":"' || coalesce(label, scenario) || '"}}' FROM (SELECT DISTINCT scenario FROM cap), tn)
+  SELECT scenario, ph, CAST(tid AS INT) AS tid, name, cat, cname, CAST(ts AS DOUBLE) AS ts, CAST(dur AS DOUBLE) AS dur, args FROM al""")
 def timeline_events(spark, sf):
     samples = i.renamed_traces(spark, sf)
-    return rounded(trace.timeline(samples, trace.transfers(samples)).drop("json"), "ts", "dur")
+    return rounded(trace.timeline(samples, trace.transfers(samples), i.capture_phases(spark, sf)), "ts", "dur")
+
+
+def _long(source: str, category: str, name: str, metrics: dict[str, str], prefix: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT scenario, '{category}' AS category, {name} AS name, '{prefix}{m}' AS metric, round(CAST({m} AS DOUBLE), 6) AS value, NULL::VARCHAR AS text, '{u}' AS unit FROM {source}" for m, u in metrics.items())
+
+
+CYCLES = dict.fromkeys(trace.STATISTICS, "cycles")
+RESIDENCY = f"SELECT s.scenario, machine, phase, count(cph.cycle) AS cycles FROM (SELECT DISTINCT scenario FROM cph) s CROSS JOIN {PHASE} LEFT JOIN cph ON cph.scenario = s.scenario AND code = CASE WHEN machine = 'raster' THEN raster_phase ELSE encoder_phase END GROUP BY 1, 2, 3"
+METRICS = (
+    f"WITH {i.PHASES}, fq AS (SELECT d.*, frame_cycles, input_acceptance_cycles_per_pixel FROM ({SQL['derived_rates']}) d JOIN (WITH {i.CAPTURE}, {i.SCENARIOS}, {START} SELECT sc.scenario, frame_cycles, input_span / pixels AS input_acceptance_cycles_per_pixel FROM sc LEFT JOIN su ON su.scenario = sc.scenario) e USING (scenario)), bq AS (SELECT *, transfer_cycles AS transfers FROM ({SQL['boundary_counts']})), lq AS ({SQL['stage_latencies']}),"
+    + f" iq AS (SELECT q.*, stage FROM ({SQL['initiation_intervals']}) q JOIN {STAGE} ON a = boundary), sq AS (SELECT *, raster_startup AS raster_startup_to_first_mcu_cycles, encoder_startup AS encoder_startup_to_first_jpeg_byte_cycles, entropy_startup AS encoder_startup_to_first_entropy_block_cycles FROM ({SQL['startups']})), kq AS ({SQL['block_intervals']}),"
+    + f" mq AS ({GAPS}{MCU} SELECT scenario, CASE kind WHEN 'within_row' THEN 'within_stripe_or_band' WHEN 'stripe_transition' THEN 'stripe_or_band_transition' ELSE kind END AS kind, {DIST.format(v='interval')} FROM mi GROUP BY 1, 2), yq AS ({GAPS}{MCU} SELECT scenario, {DIST.format(v='interval')} FROM mi WHERE steady GROUP BY 1), tq AS ({SQL['target_checks']}), mt AS ("
+    + " UNION ALL ".join([
+        _long("fq", "frame", "'frame'", trace.FRAME_UNITS),
+        _long("bq", "boundary", "boundary", {"transfers": "transfers", "blocked_cycles": "cycles", "starved_cycles": "cycles", "idle_cycles": "cycles", "longest_blocked_run": "cycles", "transfers_per_cycle": "transfers/cycle"}),
+        _long("lq", "stage", "stage", CYCLES, "latency_cycles."),
+        _long("iq", "stage", "stage", CYCLES, "initiation_interval_cycles."),
+        _long("sq", "phase", "'startup'", dict.fromkeys(("raster_startup_to_first_mcu_cycles", "encoder_startup_to_first_jpeg_byte_cycles", "encoder_startup_to_first_entropy_block_cycles"), "cycles")),
+        _long("kq", "phase", "kind || '_block_interval_cycles'", CYCLES),
+        _long("mq", "phase", "kind || '_mcu_interval_cycles'", CYCLES),
+        _long("yq", "phase", "'steady_state_mcu_interval_cycles'", CYCLES),
+        f"SELECT scenario, 'phase', machine || '_phase_cycles', phase, CAST(cycles AS DOUBLE), NULL, 'cycles' FROM ({RESIDENCY})",
+        _long("tq", "target", "target", {"actual": "", "budget": "", "ratio": "ratio"}),
+        "SELECT scenario, 'target', target, 'status', NULL, status, '' FROM tq",
+    ])
+    + ")"
+)
+
+
+def _metrics(spark, sf):
+    return rounded(trace.metrics_table(i.renamed_traces(spark, sf), i.capture_phases(spark, sf), i.scenarios(spark, sf)), "value")
+
+
+@query(METRICS + " SELECT * FROM mt")
+def metrics_table(spark, sf):
+    return _metrics(spark, sf)
+
+
+@query(METRICS + """ SELECT scenario, CAST(count(*) AS BIGINT) AS n, 3::BIGINT AS version, scenario AS name, string_agg(category || '/' || name || '/' || metric, ',' ORDER BY category, name, metric) AS listed, string_agg(text, ',' ORDER BY category, name, metric) AS texts, round(sum(value), 3) AS total FROM mt GROUP BY scenario""")
+def metrics_documents(spark, sf):
+    """What the JSON documents of all metrics hold, read back from their text."""
+    doc = trace.metrics_document(_metrics(spark, sf)).select("scenario", F.from_json("json", "metrics array<struct<category:string,name:string,metric:string,value:double,text:string,unit:string>>, name string, schema_version bigint").alias("d"))
+    total = F.aggregate("d.metrics", F.lit(0.0), lambda a, m: a + F.coalesce(m.value, F.lit(0.0)))
+    listed = F.array_join(F.transform("d.metrics", lambda m: F.concat_ws("/", m.category, m["name"], m.metric)), ",")
+    return doc.select("scenario", F.size("d.metrics").cast("bigint").alias("n"), F.col("d.schema_version").alias("version"), F.col("d.name").alias("name"), listed.alias("listed"), F.array_join(F.transform("d.metrics", lambda m: m.text), ",").alias("texts"), F.round(total, 3).alias("total"))
+
+
+@query(f"""WITH ct AS ({SQL['boundary_counts']}), tq AS ({SQL['target_checks']}), st AS (SELECT scenario, CASE target WHEN 'input_cycles_per_pixel' THEN 'rgb_input' WHEN 'block_transform_max_ii' THEN 'transform_input' ELSE 'mcu_output' END AS boundary, status FROM tq), cl AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in trace.STATUS_COLORS.items())}) v(status, fill, stroke))
+  SELECT scenario, rank, '  b' || rank || ' [label="' || boundary || '\\n' || transfer_cycles || ' transfers", fillcolor="' || fill || '", color="' || stroke || '"];' || CASE WHEN rank > 0 THEN ' b' || (rank - 1) || ' -> b' || rank || ';' ELSE '' END AS line FROM ct LEFT JOIN st USING (scenario, boundary) JOIN cl ON cl.status = coalesce(st.status, 'neutral')
+  UNION ALL SELECT scenario, r, l FROM (SELECT DISTINCT scenario FROM ct), (VALUES (-1, 'digraph performance_pipeline {{ rankdir=LR; node [shape=box, style=filled];'), (1048576, '}}')) v(r, l)""")
+def pipeline_dot(spark, sf):
+    fires = trace.transfers(i.renamed_traces(spark, sf))
+    return trace.pipeline_dot(_counts(spark, sf), trace.target_checks(fires, i.scenarios(spark, sf)))
+
+
+@query(f"WITH {i.CAPTURE}, w AS (SELECT * FROM (VALUES ('3'), ('7'), ('absent')) v(scenario)) SELECT scenario, boundary, CAST(count(*) AS BIGINT) AS n, true AS present FROM cap WHERE scenario IN (SELECT scenario FROM w) GROUP BY 1, 2 UNION ALL SELECT scenario, NULL, 0, false FROM w WHERE scenario NOT IN (SELECT scenario FROM cap)")
+def requested_scenarios(spark, sf):
+    kept, missing = trace.requested(i.renamed_traces(spark, sf), spark.createDataFrame([("3",), ("7",), ("absent",), ("3",)], "scenario string"))
+    rows = kept.groupBy("scenario", "boundary").agg(F.count(F.lit(1)).alias("n")).withColumn("present", F.lit(True))
+    return rows.unionByName(missing.select("scenario", F.lit(None).cast("string").alias("boundary"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("present")))
 
 
 @query(f"WITH {i.CAPTURE}, {i.SCENARIOS} SELECT scenario, 'mcus_per_frame' AS rule, CAST(mcus AS VARCHAR) AS detail FROM sc WHERE mcus % frames <> 0 UNION ALL SELECT scenario, 'pixels', CAST(pixels + 1 AS VARCHAR) FROM sc WHERE frames = 2 UNION ALL SELECT scenario, 'unique_scenario', '2' FROM sc WHERE frames = 3")

@@ -5,8 +5,10 @@ A broken file gives a row with its error, and no pixels.
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -124,20 +126,46 @@ def packed_words(rows: DataFrame, frame: str = "frame_id") -> DataFrame:
     return whole.select(frame, F.unhex(F.array_join(F.transform("ls", lambda s: s.l), "")).alias("words"))
 
 
+def _write_local(folder: str):
+    def run(rows) -> None:
+        os.makedirs(folder, exist_ok=True)
+        for name, content in rows:
+            part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}.part")
+            try:
+                with open(part, "wb") as out:
+                    out.write(content)
+                os.replace(part, os.path.join(folder, name))  # in one step: the old file or the new one
+            finally:
+                if os.path.exists(part):
+                    os.remove(part)
+
+    return run
+
+
 def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> None:
-    """One file for each (name, content) row, through the session's file system, replaced as a whole."""
+    """One file for each (name, content) row, replaced in one step; of a name only its last part counts.
+
+    A folder of a mounted file system is written by the executors, which must all see
+    it. Other stores are written through the session's file system, one file at a time.
+    """
+    safe = F.regexp_extract(F.col(name), r"([^/]*)/*$", 1)
+    picked = rows.select(safe.alias("name"), F.coalesce(F.col(content), F.lit(b"")).alias("content")).where(~F.col("name").isin("", ".", ".."))
+    if "://" not in folder or folder.startswith("file:"):
+        picked.foreachPartition(_write_local(re.sub("^file:/*", "/", folder)))
+        return
     spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in rows.select(name, content).toLocalIterator():
-        safe = PurePosixPath(r[0]).name
-        part = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{safe}.part")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    hadoop = jvm.org.apache.hadoop.fs
+    where = hadoop.Path(folder)
+    context = hadoop.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    over = gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    for r in picked.toLocalIterator():
+        part = hadoop.Path(f"{folder}/.{r[0]}.{uuid.uuid4().hex}.part")
         out = fs.create(part, True)
         try:
             out.write(bytearray(r[1]))
         finally:
             out.close()
-        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{safe}")
-        fs.delete(target, False)
-        fs.rename(part, target)
+        context.rename(part, hadoop.Path(f"{folder}/{r[0]}"), over)

@@ -92,6 +92,6 @@ def test_exports(spark):
     assert '"schema_version":3' in trace.metrics_json(counts, sc).first().json
     text = trace.pipeline_text(counts).first().mermaid
     assert text.startswith("flowchart LR\n") and "b12 --> b13" in text
-    events = trace.timeline(s, trace.transfers(s))
-    zigzag = events.where("track = 'zigzag_latency'").collect()
+    events = trace.timeline(s, trace.transfers(s), s.selectExpr("scenario", "cycle", "0 AS raster_phase", "1 AS encoder_phase").distinct())
+    zigzag = events.where("name LIKE 'zigzag #%'").collect()
     assert [round(r.dur, 6) for r in zigzag] == [0.01, 0.01]  # at least one cycle
