@@ -115,12 +115,14 @@ def responsibilities(pattern: tuple[int, ...], model: Model) -> list[float]:
     return [x / sum(parts) for x in parts]
 
 
-def estimate(patterns: dict[tuple[int, ...], int], width: int, rounds: int = 50, smooth: float = 1.0) -> Model:
+def estimate(patterns: dict[tuple[int, ...], int], width: int, rounds: int = 50, smooth: float = 1.0, belief_in_anchor: float = 0.2) -> Model:
     """Expectation-maximisation over counted vote patterns.
 
     Bad documents are of several kinds that share no symptom, so there is a class for
-    each rule beside the good one. Class k is anchored: its documents get rule k's bad
-    vote; all else about it is estimated. It starts from the documents with that vote.
+    each rule beside the good one. It starts from the documents with that rule's bad
+    vote. How the rule votes on its own class is estimated like all else, with a prior
+    (``ANCHOR``, worth the share ``belief_in_anchor`` of all documents) that keeps the
+    classes apart from each other.
     """
     classes = width + 1
     belief = {}
@@ -137,7 +139,10 @@ def estimate(patterns: dict[tuple[int, ...], int], width: int, rounds: int = 50,
             for p, n in patterns.items():
                 for r, v in enumerate(p):
                     counts[r][v] += n * belief[p][c]
-            says.append([ANCHOR if r + 1 == c else {v: x / (mass[c] + 3 * smooth) for v, x in own.items()} for r, own in enumerate(counts)])
+            if c:
+                for v in VOTES:
+                    counts[c - 1][v] += belief_in_anchor * total * ANCHOR[v]
+            says.append([{v: x / sum(own.values()) for v, x in own.items()} for own in counts])
         if k < rounds:
             belief = {p: responsibilities(p, (shares, says)) for p in patterns}
     return shares, says
