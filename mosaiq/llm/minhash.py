@@ -14,10 +14,10 @@ minhashes. A pair of similarity s is missed with a probability of at most
    its groups: the likely common ancestor) goes to every part.
 3. In a part, nodes whose signatures are too far apart to be links are ruled out (an
    error of about 1e-6 at the threshold). Of the rest a part of few nodes keeps all
-   pairs, a larger one each node's nearest, its partners with the most near nodes
-   (likely ancestors), and a spanning forest of the nearest. So pairs are linear in the rows here, whatever the size of a group.
-4. Pairs are verified on full shingle sets, each node's nearest partner first, twice;
-   of the others only those whose ends are still in different components.
+   pairs, a larger one a spanning forest of the nearest. So pairs are linear in the
+   rows here, whatever the size of a group.
+4. Pairs are verified on full shingle sets, each node's nearest partner first; of the
+   others only those whose ends are still in different components.
 5. The partners kept so far only save work. Groups that still hold several components
    are joined block by block, each block with every other, so that all nodes of such a
    group meet; a pair is judged in the first table it shares. A part with few near pairs
@@ -113,18 +113,13 @@ def _sets(it: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
 
 
 FEW = 8
-PARTNERS = 2
 
 
 def _forest(agree: np.ndarray, least: int) -> set[tuple[int, int]]:
-    """Each node's nearest, its most central partners, and a spanning forest of nearest pairs (Prim's way), of pairs with at least ``least`` agreements."""
+    """A spanning forest of nearest pairs (Prim's way), of pairs with at least ``least`` agreements; it holds each node's nearest."""
     n = len(agree)
     np.fill_diagonal(agree, -1)
     out = set()
-    central = np.where(agree >= least, (agree >= least).sum(axis=0)[None, :].astype(np.int32) * 128 + agree, -1)
-    for rank in (agree, central):
-        for k in np.argpartition(rank, -PARTNERS, axis=1)[:, -PARTNERS:].T:
-            out.update((i, j) for i, j in enumerate(k.tolist()) if agree[i, j] >= least)
     near, to, open_ = agree[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
     open_[0] = False
     for _ in range(n - 1):
@@ -358,14 +353,14 @@ def _full_sets(base: DataFrame, nodes: DataFrame, ends: DataFrame, width: int) -
     return materialize(texts.select("doc_id", "text").mapInArrow(partial(_sets, width=width), "node bigint, shingles array<bigint>").join(ends, "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
 
 
-def _linked(base: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, width: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _linked(base: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, width: int, links: DataFrame | None = None, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """Verified links, added to ``links``, and the components' labels; of ``pairs`` none stays unverified whose ends are in different components."""
     sets = _full_sets(base, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), width)
     labels, left = None, pairs
-    for last in (False, False, True):
+    for k in range(rounds):
         if labels is not None:
             left = materialize(_across(left, labels), "minhash-left")
-        chosen = left.select("a", "b") if last else _nearest(left)
+        chosen = left.select("a", "b") if k == rounds - 1 else _nearest(left)
         found = materialize(_verified(chosen, sets, percent), "minhash-links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
@@ -445,7 +440,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, side: in
         rest = _across(rest, labels)
     rest = materialize(rest, "minhash-rest")
     if not rest.isEmpty():
-        _, labels = _linked(base, nodes, rest, percent, width, links)
+        _, labels = _linked(base, nodes, rest, percent, width, links, rounds=1)
 
     whole = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     smallest = whole.groupBy("label").agg(F.min("first").alias("component_id"))
