@@ -82,7 +82,7 @@ def test_deduplicated_edges(spark, edge_docs, edge_rows, no_docs):
     assert out.columns == edge_docs.columns
     got = [tuple(r)[:2] for r in out.collect()]
     wordless = [r[:2] for r in edge_rows if not re.search(r"[^\x20\x09-\x0D]", r[1] or "")]
-    first = ["None" if d == 1 << 63 else str(d) for d, _ in brute(edge_rows, groups=True)]
+    first = ["None" if d == 1 << 63 else str(d) for d, _ in brute(edge_rows, 80, groups=True)]
     assert sorted(str(i) for i, t in got) == sorted(first + [str(r[0]) for r in wordless])
     assert minhash.deduplicated(no_docs).collect() == []
     assert credentials.redacted(no_docs, n_chars="n_chars").collect() == []
