@@ -20,7 +20,8 @@ minhashes. A pair of similarity s is missed with a probability of at most
    others only those whose ends are still in different components.
 5. The partners kept so far only save work. Groups that still hold several components
    are joined block by block, each block with every other, so that all nodes of such a
-   group meet; a pair is judged in the first table it shares. A part with few near pairs
+   group meet; a pair is judged in the first table it shares. Large groups of one
+   collection's tables hold much the same nodes and are one group here. A part with few near pairs
    across components passes them on to be verified like the others. A part with many
    gets the full sets of the nodes concerned instead, verifies all its pairs itself
    (common elements by bits), and passes on only links that join two components. So rows
@@ -212,7 +213,9 @@ def _meetings(label: np.ndarray, side: np.ndarray, table: int, size: np.ndarray,
     within = cut in (0, len(side))
     x, y = (slice(0, len(side)),) * 2 if within else (slice(0, cut), slice(cut, len(side)))
     m = keys.shape[1] // 2
-    before = [*range(table // m), *range(m, m + table % m)]  # collections that both have only in a table before this
+    joint = table >= m * m  # tables of one collection in one
+    # collections that both have only in a table before this
+    before = [*range(table - m * m)] if joint else [*range(table // m), *range(m, m + table % m)]
     out = [(np.empty(0, np.int64),) * 3]
     for lo in range(x.start, x.stop, 256):
         u = slice(lo, min(lo + 256, x.stop))
@@ -220,6 +223,8 @@ def _meetings(label: np.ndarray, side: np.ndarray, table: int, size: np.ndarray,
         meet &= 100 * np.minimum(size[u, None], size[None, y]) >= percent * np.maximum(size[u, None], size[None, y])
         for k in before:
             meet &= keys[u, None, k] != keys[None, y, k]
+        if joint:
+            meet &= np.logical_or.reduce([keys[u, None, k] == keys[None, y, k] for k in range(m, 2 * m)])
         i, j = np.nonzero(meet)
         i, j = i + lo, j + y.start
         if within:
@@ -367,19 +372,37 @@ def _linked(base: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, w
     return links, labels
 
 
+def _joint(grouped: DataFrame, side: int, block: int) -> DataFrame:
+    """Table groups (key, table, node), those of over ``block`` nodes that share a collection of the first side in one group.
+
+    The same nodes fill a large group in each of the ``side`` tables of a collection, so
+    one group of all of them, numbered behind the tables, holds a row instead of many. It
+    is made only where its pairs are no more than those of the groups it stands for.
+    """
+    rows = ["key", "table", "node"]
+    large = grouped.where(F.col("n") > block)
+    apart = large.select("upper", "key", "n").distinct().groupBy("upper").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    one = large.select("upper", "table", "node").groupBy("upper", "node").agg(F.floor(F.min("table") / side).cast("int").alias("i"))
+    merged = one.groupBy("upper").agg(F.count(F.lit(1)).cast("double").alias("n")).join(apart, "upper").where("n * n <= apart").select("upper")
+    joint = one.join(merged, "upper", "left_semi").select(F.col("upper").alias("key"), (F.col("i") + side * side).alias("table"), "node")
+    others = large.join(merged, "upper", "left_anti")
+    return grouped.where(F.col("n") <= block).select(rows).unionByName(others.select(rows)).unionByName(joint)
+
+
 def _blocks(grouped: DataFrame, labels: DataFrame, block: int) -> DataFrame:
-    """(part, side, table, node, label) so that any two nodes of a table group with different labels meet in a part.
+    """(part, side, table, node, label) so that any two nodes of a group with different labels meet in a part.
 
     A group's largest component and its other nodes are dealt to blocks of about ``block``
     nodes; every block of the others meets every block, blocks of the largest component
-    do not meet each other. Groups of one component are left out.
+    do not meet each other. A group of up to ``block`` nodes is one part, and groups of
+    one component are left out.
     """
     one = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
     named = grouped.join(one, F.col("node") == F.col("_node"), "left").select("key", "table", "node", F.coalesce("_label", "node").alias("label"))
     sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
     count = lambda n: F.ceil(n / block).cast("int")
-    split = most.select("key", F.col("top.label").alias("top"), count(F.col("n") - F.col("top.n")).alias("others"), count(F.col("top.n")).alias("tops"))
+    split = most.select("key", (F.col("n") <= block).alias("whole"), F.col("top.label").alias("top"), count(F.col("n") - F.col("top.n")).alias("others"), count(F.col("top.n")).alias("tops"))
     rows = named.join(split, "key").withColumn("major", F.col("label") == F.col("top"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.when(F.col("major"), F.col("tops")).otherwise(F.col("others"))).cast("int"))
     own, none = F.col("own"), F.lit(1)
@@ -387,7 +410,8 @@ def _blocks(grouped: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     firsts = F.sequence(F.lit(0), F.col("others") - 1)
     with_top = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda j: place(own, -1 - j, F.lit(0)))
     with_others = F.transform(firsts, lambda j: place(F.least(own, j), F.greatest(own, j), own > j))
-    places = F.when(F.col("major"), F.transform(firsts, lambda j: place(j, -1 - own, none))).otherwise(F.concat(with_top, with_others))
+    alone = F.array(place(F.lit(0), F.lit(0), F.lit(0)))
+    places = F.when(F.col("whole"), alone).when(F.col("major"), F.transform(firsts, lambda j: place(j, -1 - own, none))).otherwise(F.concat(with_top, with_others))
     return rows.select("key", "table", "node", "label", F.explode(places).alias("p")).select(F.xxhash64("key", "p.x", "p.y").alias("part"), F.col("p.side").alias("side"), "table", "node", "label")
 
 
@@ -400,7 +424,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, side: in
 
     # 2. table groups of two or more, in parts
     one = nodes.select("node", F.posexplode(F.slice("keys", 1, side)).alias("i", "u"), F.slice("keys", side + 1, side).alias("vs"))
-    keyed = one.select("node", "i", "u", F.posexplode("vs").alias("j", "v")).select("node", F.xxhash64("i", "j", "u", "v").alias("key"), (F.col("i") * side + F.col("j")).cast("int").alias("table"))
+    keyed = one.select("node", "i", "u", F.posexplode("vs").alias("j", "v")).select("node", F.xxhash64("i", "u").alias("upper"), F.xxhash64("i", "j", "u", "v").alias("key"), (F.col("i") * side + F.col("j")).cast("int").alias("table"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     grouped = materialize(keyed.join(shared, "key"), "minhash-groups")
     popular = grouped.groupBy("node").agg(F.sum("n").alias("popularity"))
@@ -423,7 +447,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, side: in
 
     # 4. groups of several components, block by block
     sketch = nodes.select("node", "n_shingles", "sig", "keys")
-    blocks = _blocks(grouped, labels, block).join(sketch, "node")
+    blocks = _blocks(_joint(grouped, side, block), labels, block).join(sketch, "node")
     columns = ["part", "node", "label", "side", "table", "n_shingles", "sig", "keys"]
     n = partitions(docs.sparkSession)
     dealt = blocks.select(columns).repartition(n, "part").sortWithinPartitions("part", "side", "node")

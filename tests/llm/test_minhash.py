@@ -151,3 +151,19 @@ def test_components_of_chain_star_and_loop(spark):
     edges = [(b, a) if a and rnd.random() < 0.5 else (a, b) for a, b in edges]
     out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {i: 100 for i in range(100, 141)} | {k: 1 for k in range(1, 60)} | {70: 70}
+
+
+def test_large_groups_of_a_collection_are_one(spark):
+    """Groups of much the same nodes are joined, groups of different nodes are not; no two nodes are parted."""
+    side, block = 2, 4
+    groups = {  # (upper, key): table, nodes
+        (1, 10): (0, range(6)), (1, 11): (1, range(1, 7)),
+        (2, 20): (2, range(10, 16)), (2, 21): (3, range(16, 22)), (2, 22): (3, range(22, 28)),
+        (3, 30): (1, range(30, 33)),
+    }
+    rows = [(u, k, t, n, len(ns)) for (u, k), (t, ns) in groups.items() for n in ns]
+    out = m._joint(spark.createDataFrame(rows, "upper long, key long, table int, node long, n long"), side, block).collect()
+    got = {}
+    for r in out:
+        got.setdefault((r.key, r.table), []).append(r.node)
+    assert {k: sorted(v) for k, v in got.items()} == {(1, side * side): [*range(7)]} | {(k, t): [*ns] for (u, k), (t, ns) in groups.items() if u > 1}
