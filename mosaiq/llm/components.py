@@ -7,22 +7,41 @@ from pyspark.sql import DataFrame, functions as F
 from .store import materialize
 
 
+def _follow(step: DataFrame) -> DataFrame:
+    """(node, label) two pointers on: each label is replaced by its own label."""
+    return step.join(step.select(F.col("node").alias("at"), F.col("label").alias("beyond")), F.col("label") == F.col("at")).select("node", F.col("beyond").alias("label"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of an undirected edge table; label is the component's smallest node.
 
-    Each round takes the smallest label among a node's neighbours (pre-aggregated
-    before the shuffle, so hubs are no hot groups) and then jumps to the label's own
-    label, so the number of rounds grows with the logarithm of a component's diameter.
-    A round's labels are a written table. Null ends are ignored.
+    Each round points every node to the first of itself and its neighbours in the order
+    of a hash (aggregated before the shuffle, so hubs are no hot groups), follows the
+    pointers four steps, and contracts the edges: their ends become the nodes pointed
+    to, and edges that have become equal, or loops, are dropped. So the edges of a round
+    are those between what is not yet joined, and few rounds see many edges, however
+    many edges a component has. Chains of pointers are short, as the hash's order is
+    random to the edges; a longer one is only cut later. A path's image is a path, so
+    contraction keeps what is connected, and the last node in the order always goes, so
+    it ends. Lineage is cut by a round's written tables. Null ends are ignored.
     """
-    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "cc-labels")
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    left = materialize(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    labels = None
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("other"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        target = labels.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
-        new = materialize(step.join(target, step.label == target.at, "left").select("node", F.least("label", "beyond").alias("label"), (F.least("label", "beyond") < F.col("old")).alias("moved")), "cc-labels")
-        labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            return labels
+        twice = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        order = lambda x: F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("label"))
+        first = materialize(twice.groupBy("node").agg(F.min(F.least(order("node"), order("other"))).label.alias("label")), "cc-first")
+        step = materialize(_follow(_follow(first)), "cc-step")
+        one, two = (step.select(F.col("node").alias(f"at_{x}"), F.col("label").alias(f"to_{x}")) for x in "ab")
+        moved = left.join(one, F.col("a") == F.col("at_a")).join(two, F.col("b") == F.col("at_b")).where("to_a <> to_b")
+        left = materialize(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "cc-edges")
+        if labels is None:
+            labels = step
+        else:
+            labels = labels.join(one, F.col("label") == F.col("at_a"), "left").select("node", F.coalesce("to_a", "label").alias("label"))
+        if left.isEmpty():
+            break
+    labels = materialize(labels, "cc-labels")
+    smallest = labels.groupBy(F.col("label").alias("at")).agg(F.min("node").alias("smallest"))
+    return materialize(labels.join(smallest, F.col("label") == F.col("at")).select("node", F.col("smallest").alias("label")), "cc-labels")

@@ -358,18 +358,21 @@ def _full_sets(base: DataFrame, nodes: DataFrame, ends: DataFrame, width: int) -
     return materialize(texts.select("doc_id", "text").mapInArrow(partial(_sets, width=width), "node bigint, shingles array<bigint>").join(ends, "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
 
 
-def _linked(base: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, width: int, links: DataFrame | None = None, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Verified links, added to ``links``, and the components' labels; of ``pairs`` none stays unverified whose ends are in different components."""
+def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The components' labels once ``links`` hold too: what is joined already counts by its labels, not by all its links."""
+    return components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+
+
+def _linked(base: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, width: int, labels: DataFrame | None = None, rounds: int = 2) -> DataFrame:
+    """The components' labels, joined further by verified links; of ``pairs`` none stays unverified whose ends are in different components."""
     sets = _full_sets(base, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), width)
-    labels, left = None, pairs
+    left = pairs
     for k in range(rounds):
         if labels is not None:
             left = materialize(_across(left, labels), "minhash-left")
         chosen = left.select("a", "b") if k == rounds - 1 else _nearest(left)
-        found = materialize(_verified(chosen, sets, percent), "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    return links, labels
+        labels = _joined(materialize(_verified(chosen, sets, percent), "minhash-links"), labels)
+    return labels
 
 
 def _joint(grouped: DataFrame, side: int, block: int) -> DataFrame:
@@ -443,7 +446,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, side: in
     pairs = materialize(sized.select("a", "b", "agree"), "minhash-pairs")
 
     # 3. verification on full sets
-    links, labels = _linked(base, nodes, pairs, percent, width)
+    labels = _linked(base, nodes, pairs, percent, width)
 
     # 4. groups of several components, block by block
     sketch = nodes.select("node", "n_shingles", "sig", "keys")
@@ -459,12 +462,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, side: in
         known = labels.select("node", "label")
         held = dense.join(sketch, "node").join(sets, "node").join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
         held = held.select(*columns, "shingles").repartition(n, "part").sortWithinPartitions("part", "side", "node")
-        links = links.unionByName(materialize(held.mapInArrow(partial(_dense_links, least=least, percent=percent), "a bigint, b bigint"), "minhash-links"))
-        labels = components(links)
+        found = materialize(held.mapInArrow(partial(_dense_links, least=least, percent=percent), "a bigint, b bigint"), "minhash-links")
+        labels = _joined(found, labels)
         rest = _across(rest, labels)
     rest = materialize(rest, "minhash-rest")
     if not rest.isEmpty():
-        _, labels = _linked(base, nodes, rest, percent, width, links, rounds=1)
+        labels = _linked(base, nodes, rest, percent, width, labels, rounds=1)
 
     whole = nodes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     smallest = whole.groupBy("label").agg(F.min("first").alias("component_id"))

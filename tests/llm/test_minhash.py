@@ -153,6 +153,21 @@ def test_components_of_chain_star_and_loop(spark):
     assert out == {i: 100 for i in range(100, 141)} | {k: 1 for k in range(1, 60)} | {70: 70}
 
 
+def test_components_of_random_graphs(spark):
+    rnd = random.Random(2)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(230)]
+    edges += [(1000 + i, 1000 + j) for i in range(30) for j in range(i)] + [(1029, 2000)] + [(i, i + 1) for i in range(2000, 2300)]
+    want: dict[int, int] = {x: x for e in edges for x in e}
+    for _ in want:
+        before = dict(want)
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+        if before == want:
+            break
+    out = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(out) == len(want) and {r.node: r.label for r in out} == want
+
+
 def test_large_groups_of_a_collection_are_one(spark):
     """Groups of much the same nodes are joined, groups of different nodes are not; no two nodes are parted."""
     side, block = 2, 4
