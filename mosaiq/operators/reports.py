@@ -86,17 +86,20 @@ def overlaps(ranges: DataFrame, key: str = "id", step: int = 65536, within: list
 
     Cells have sizes ``step`` * 16^level. A range is held in the level where it touches
     at most two cells, however wide it is, and looks in the cells it touches of that and
-    all coarser levels; a pair is reported once, in the cell where its later range begins.
+    of the coarser levels that hold any range; a pair is reported once, in the cell where
+    its later range begins. The cells are sorted and merged, never broadcast: the optimizer
+    takes them for as few as the ranges, before each of these looks in its levels.
     """
     own = within or []
     size = lambda level: F.lit(float(step)) * F.pow(F.lit(16.0), level)
     cells = lambda level: F.sequence(F.floor(F.col("base").cast("double") / size(level)), F.floor(F.col("high").cast("double") / size(level)))
     length = (F.col("high") - F.col("base") + 1).cast("double")
     cut = ranges.where("base <= high").select(*own, F.col(key).alias("k"), "base", "high").withColumn("level", F.greatest(F.lit(0), F.ceil(F.log(16.0, length / step))).cast("int"))
-    top = 17  # 16^17 passes all 64 bits
+    present = cut.agg(F.collect_set("level").alias("present"))  # one row, 18 levels at most: 16^17 passes all 64 bits
     held = cut.select("*", F.explode(cells(F.col("level"))).alias("cell"))
-    looks = cut.select("*", F.explode(F.sequence("level", F.lit(top))).alias("at")).select("*", F.explode(cells(F.col("at"))).alias("cell"))
-    a, b = held.alias("a"), looks.alias("b")
+    coarser = F.filter("present", lambda x: x >= F.col("level"))
+    looks = cut.crossJoin(F.broadcast(present)).select("*", F.explode(coarser).alias("at")).select("*", F.explode(cells(F.col("at"))).alias("cell"))
+    a, b = held.alias("a"), looks.alias("b").hint("merge")
     meet = (F.col("a.level") == F.col("b.at")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.k") != F.col("b.k"))
     for c in own:
         meet = meet & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))

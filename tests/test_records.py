@@ -3,6 +3,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from mosaiq.functions import words
 from mosaiq.operators import evidence, graph, reports
@@ -93,6 +94,18 @@ def test_overlaps_of_wide_ranges(spark):
         assert sorted(map(tuple, reports.overlaps(df, step=step).collect())) == sorted(want)
 
 
+def test_overlaps_are_merged_and_look_where_ranges_are(spark):
+    """Spark's own threshold would take the cells of a small table for broadcast; levels 1 and 3 to 17 hold nothing here."""
+    base = F.col("id") * 10
+    df = spark.range(3000).select("id", base.alias("base"), (base + F.when(F.col("id") % 500 == 7, 9000).otherwise(F.col("id") % 50)).alias("high"))
+    found = reports.overlaps(df, step=64)
+    rows = [(r.id, r.base, r.high) for r in df.collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows[a[0] + 1 : a[0] + 1000] if b[1] <= a[2]}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_addresses(spark):
     df = spark.createDataFrame([("0xFFFF_FFFF_FFFF_FFFF",), ("0x0000_0000_0000_0000_0000_001f",), ("0x1_0000_0000_0000_0000",), ("0x0",)], "s string")
     assert [r[0] for r in df.select(reports.address(df.s)).collect()] == [2**64 - 1, 31, None, 0]
