@@ -1,10 +1,16 @@
-"""Connected components of an edge table, without gathering nodes or edges anywhere."""
+"""Connected components of an edge table, without gathering more nodes or edges anywhere than a fixed number."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .store import materialize
+from .textops import frugal
+
+FEW = 1 << 16  # edges that one task joins at once: 1 MB, whatever the input
 
 
 def _follow(step: DataFrame) -> DataFrame:
@@ -12,7 +18,25 @@ def _follow(step: DataFrame) -> DataFrame:
     return step.join(step.select(F.col("node").alias("at"), F.col("label").alias("beyond")), F.col("label") == F.col("at")).select("node", F.col("beyond").alias("label"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+@frugal
+def _united(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of all edges of the only partition; label is the smallest node."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in it:
+        for a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "label"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """(node, label) for every node of an undirected edge table; label is the component's smallest node.
 
     Each round points every node to the first of itself and its neighbours in the order
@@ -24,11 +48,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     random to the edges; a longer one is only cut later. A path's image is a path, so
     contraction keeps what is connected, and the last node in the order always goes, so
     it ends. Lineage is cut by a round's written tables. Null ends are ignored.
+
+    Rounds go on while there are more than ``few`` edges. Those that are left then, a
+    bounded number, are joined by one task: each round costs the driver some twenty
+    stages' tasks and plans, which it holds on to, for ever fewer edges.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     left = materialize(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     labels = None
-    while True:
+    while left.count() > few:
         twice = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
         order = lambda x: F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("label"))
         first = materialize(twice.groupBy("node").agg(F.min(F.least(order("node"), order("other"))).label.alias("label")), "cc-first")
@@ -40,8 +68,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = step
         else:
             labels = labels.join(one, F.col("label") == F.col("at_a"), "left").select("node", F.coalesce("to_a", "label").alias("label"))
-        if left.isEmpty():
-            break
-    labels = materialize(labels, "cc-labels")
+    last = left.coalesce(1).mapInArrow(_united, "node bigint, label bigint")
+    if labels is None:
+        return materialize(last, "cc-labels")
+    last = last.select(F.col("node").alias("at"), F.col("label").alias("to"))
+    labels = materialize(labels.join(last, F.col("label") == F.col("at"), "left").select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
     smallest = labels.groupBy(F.col("label").alias("at")).agg(F.min("node").alias("smallest"))
     return materialize(labels.join(smallest, F.col("label") == F.col("at")).select("node", F.col("smallest").alias("label")), "cc-labels")

@@ -329,9 +329,9 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 HUB = 1000  # pairs of one node that one task verifies
 
 
-def _with_sets(pairs: DataFrame, end: str, sets: DataFrame, name: str) -> DataFrame:
-    """The full set of one end of each pair; a node of more than ``HUB`` pairs is copied to as many salts as its pairs need."""
-    heavy = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("_n")).where("_n > 1")
+def _with_sets(pairs: DataFrame, end: str, sets: DataFrame, name: str, plain: DataFrame) -> DataFrame:
+    """The full set of one end of each pair; a node of more than ``HUB`` pairs (counted in ``plain``, the pairs alone) is copied to as many salts as its pairs need."""
+    heavy = plain.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("_n")).where("_n > 1")
     dealt = pairs.join(heavy, end, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), "_n").cast("int"), F.lit(0))).drop("_n")
     copies = sets.join(heavy, sets.node == F.col(end), "left").select("node", F.col("shingles").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)).alias("_at"))
     return dealt.join(copies, (F.col(end) == F.col("node")) & (F.col("_salt") == F.col("_at"))).drop("node", "_salt", "_at")
@@ -339,7 +339,8 @@ def _with_sets(pairs: DataFrame, end: str, sets: DataFrame, name: str) -> DataFr
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * |intersection| >= percent * |union|, exactly."""
-    both = _with_sets(_with_sets(pairs.select("a", "b"), "b", sets, "y"), "a", sets, "x").withColumn("n", F.size(F.array_intersect("x", "y")))
+    plain = pairs.select("a", "b")
+    both = _with_sets(_with_sets(plain, "b", sets, "y", plain), "a", sets, "x", plain).withColumn("n", F.size(F.array_intersect("x", "y")))
     return both.where(100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
 
 
@@ -370,7 +371,7 @@ def _linked(base: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, w
     for k in range(rounds):
         if labels is not None:
             left = materialize(_across(left, labels), "minhash-left")
-        chosen = left.select("a", "b") if k == rounds - 1 else _nearest(left)
+        chosen = left.select("a", "b") if k == rounds - 1 else materialize(_nearest(left), "minhash-nearest")
         labels = _joined(materialize(_verified(chosen, sets, percent), "minhash-links"), labels)
     return labels
 

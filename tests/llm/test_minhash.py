@@ -3,8 +3,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from mosaiq.llm import minhash as m
+from mosaiq.llm import minhash as m, store
 from mosaiq.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,6 +154,28 @@ def test_components_of_chain_star_and_loop(spark):
     assert out == {i: 100 for i in range(100, 141)} | {k: 1 for k in range(1, 60)} | {70: 70}
 
 
+@pytest.mark.parametrize("few", [0, 1, 20, 1000])
+def test_components_by_rounds_and_by_one_task(spark, few):
+    rnd = random.Random(few)
+    edges = [(rnd.randrange(-200, 200), rnd.randrange(-200, 200)) for _ in range(150)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7), (900, None)]
+    want: dict[int, int] = {x: x for e in edges if None not in e for x in e}
+    for _ in want:
+        for a, b in edges:
+            if b is not None:
+                want[a] = want[b] = min(want[a], want[b])
+    out = components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()
+    assert len(out) == len(want) and {r.node: r.label for r in out} == want
+    assert components(spark.createDataFrame([], "a long, b long"), few=few).collect() == []
+
+
+def test_few_edges_take_few_tables(spark, monkeypatch):
+    """The driver holds each table's stages and plans: few edges are joined without rounds."""
+    written = []
+    monkeypatch.setattr("mosaiq.llm.components.materialize", lambda df, name, own=store.materialize: (written.append(name), own(df, name))[1])
+    assert components(spark.range(300).selectExpr("id AS a", "id + 1 AS b")).where("label = 0").count() == 301
+    assert len(written) == 2
+
+
 def test_components_of_random_graphs(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(230)]
